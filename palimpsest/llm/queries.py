@@ -1,10 +1,14 @@
 """The corpus queries and the DuckDB SQL of those that SQL can express."""
 
-from . import packing, sharding, tokenfile
+from . import exact, packing, secrets, sharding, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op4_huffman_token_file": tokenfile.op4_huffman_token_file,
+    "op5_ordinal_toxicity": toxicity.op5_ordinal_toxicity,
+    "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_simhash_pigeonring": simhash.op8_simhash_pigeonring,
+    "op9_zstd_secrets": secrets.op9_zstd_secrets,
     "op10_histogram_shards": sharding.op10_histogram_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_exact_dedup": exact.ORACLE}
