@@ -1,18 +1,16 @@
-"""What the corpus operators share: tables, scratch space and cached tokenisation."""
+"""What the corpus operators share: tables, scratch space and tokenisation."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wordbpe
+
 END_ID = 2
-#: Entries that a worker's cache of encoded words may hold before it starts anew.
-CACHE_WORDS = 400_000
 _own_scratch: list[str] = []
 
 
@@ -60,34 +58,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-class _Encoded(dict):
-    """Ids of a word without white space, as little-endian unsigned 32-bit bytes, by its UTF-8 bytes."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = found
-        return found
-
-
-@lru_cache(maxsize=4)
-def encoded_words(path: str) -> _Encoded:
-    return _Encoded(path)
-
-
-@lru_cache(maxsize=4)
 def vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
+    return wordbpe.of(path).size
 
-    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+def narrow(path: str) -> str:
+    """The smallest type that holds every id."""
+    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
 
 
 def default_tokenizer() -> str:
@@ -96,13 +73,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_text(text: bytes, words: _Encoded) -> bytes:
-    """Ids of a whole text with the end id, as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words in turn; bytes.split() splits at ASCII white space.
-    """
-    return b"".join(map(words.__getitem__, text.split())) + END_ID.to_bytes(4, "little")
+def encode(texts: list[bytes], tokenizer: str) -> list[bytes]:
+    """Ids of whole texts, each with the end id, as little-endian unsigned 32-bit bytes."""
+    end = END_ID.to_bytes(4, "little")
+    return [ids + end for ids in wordbpe.of(tokenizer).encode(texts)]
 
 
 def texts_of(column) -> list[bytes]:
@@ -112,7 +86,7 @@ def texts_of(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batch, rows: int = 512):
+def slices(batch, rows: int = 256):
     """An Arrow batch in pieces of so many rows, so that Python objects of few texts exist at once."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

@@ -32,15 +32,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, route (min-hash of the ids), n_tokens, ids (little-endian, 16 bits each where the vocabulary allows)."""
-    narrow = _narrow(tokenizer)
+    narrow = common.narrow(tokenizer)
 
     def encode(batches):
         import pyarrow as pa
 
-        words = common.encoded_words(tokenizer)
         for batch in batches:
             for part in common.slices(batch):
-                ids = [np.frombuffer(common.encode_text(t, words), "<u4") for t in common.texts_of(part.column(1))]
+                ids = [np.frombuffer(x, "<u4") for x in common.encode(common.texts_of(part.column(1)), tokenizer)]
                 # The end id is in every text, so it doesn't route, unless it is alone.
                 route = [int(_hashed(x[:-1] if len(x) > 1 else x).min()) >> 1 for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(route, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())], ["doc_id", "route", "n_tokens", "ids"])
@@ -48,10 +47,6 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text")).mapInArrow(encode, "doc_id long, route long, n_tokens long, ids binary")
 
 
-def _narrow(tokenizer: str) -> str:
-    return "<u2" if common.vocabulary_size(tokenizer) <= 1 << 16 else "<u4"
-
-
 def _hashed(ids: np.ndarray) -> np.ndarray:
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,7 +157,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece of a document; see PIECES. sequence_id is unique, not dense."""
-    spark, size, narrow = docs.sparkSession, common.vocabulary_size(tokenizer), _narrow(tokenizer)
+    spark, size, narrow = docs.sparkSession, common.vocabulary_size(tokenizer), common.narrow(tokenizer)
     tokens = common.materialise(tokenised(docs, tokenizer), "tokens")
     df, n, total = statistics(tokens, size, narrow)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)

@@ -1,8 +1,10 @@
 """The corpus queries and the DuckDB SQL of those that SQL can express."""
 
-from . import exact, packing, secrets, sharding, simhash, tokenfile, toxicity
+from . import decontaminate, exact, packing, pii, secrets, sharding, simhash, tokenfile, toxicity
 
 QUERIES = {
+    "op1_seed_align_decontamination": decontaminate.op1_seed_align_decontamination,
+    "op2_keyed_surrogates": pii.op2_keyed_surrogates,
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op4_huffman_token_file": tokenfile.op4_huffman_token_file,
     "op5_ordinal_toxicity": toxicity.op5_ordinal_toxicity,

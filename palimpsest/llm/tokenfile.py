@@ -15,8 +15,6 @@ doc_id and text aren't read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,22 +104,20 @@ def unpack(bits: bytes, checkpoints: bytes, n: int, symbols: np.ndarray, sizes:
     return out.reshape(-1)[:n]
 
 
-def count_ids(docs: DataFrame, tokenizer: str) -> np.ndarray:
-    """How often each id occurs in all texts; one row per id reaches the driver."""
-    size = common.vocabulary_size(tokenizer)
+def count_ids(tokens: DataFrame, size: int, narrow: str) -> np.ndarray:
+    """How often each id occurs in all documents; one row per id reaches the driver."""
 
     def count(batches):
         import pyarrow as pa
 
-        words, total = common.encoded_words(tokenizer), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for part in common.slices(batch):
-                ids = b"".join(common.encode_text(t, words) for t in common.texts_of(part.column(0)))
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), narrow), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
-    rows = docs.select(common.text_of().alias("text")).mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("ids").mapInArrow(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["symbol"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -131,23 +127,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, limit: int = LIMIT, block_
     """Encode the texts of docs (doc_id, text) into a new file at `path`."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"))
-    lengths = code_lengths(count_ids(docs, tokenizer), limit)
-    codes = canonical_codes(lengths)
-    narrow = "<u2" if len(lengths) <= 1 << 16 else "<u4"
-    n = common.partitions(spark)
+    size, narrow, n = common.vocabulary_size(tokenizer), common.narrow(tokenizer), common.partitions(spark)
     cuts = np.unique(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))) if n > 1 else np.zeros(0)
 
     def encode(batches):
         import pyarrow as pa
 
-        words = common.encoded_words(tokenizer)
         for batch in batches:
             for part in common.slices(batch):
-                ids = [np.frombuffer(common.encode_text(t, words), "<u4").astype(narrow).tobytes() for t in common.texts_of(part.column(1))]
+                ids = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in common.encode(common.texts_of(part.column(1)), tokenizer)]
                 key = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 at = np.searchsorted(cuts, key, side="left") if len(cuts) else np.zeros(len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
+    # The texts are tokenised once; their ids are read for the counts and again for the code.
+    tokens = common.materialise(docs.mapInArrow(encode, "part int, doc_id long, ids binary"), "tokens")
+    lengths = code_lengths(count_ids(tokens, size, narrow), limit)
+    codes = canonical_codes(lengths)
+
     def blocks(batches):
         import pyarrow as pa
 
@@ -182,8 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, limit: int = LIMIT, block_
             yield out
 
     spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    rows = docs.mapInArrow(encode, "part int, doc_id long, ids binary").repartitionById(len(cuts) + 1, F.col("part"))
-    rows.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    tokens.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
