@@ -1,6 +1,6 @@
 """The corpus queries and the DuckDB SQL of those that SQL can express."""
 
-from . import decontaminate, exact, packing, pii, secrets, sharding, simhash, tokenfile, toxicity
+from . import decontaminate, exact, packing, pii, secrets, sharding, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_seed_align_decontamination": decontaminate.op1_seed_align_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op4_huffman_token_file": tokenfile.op4_huffman_token_file,
     "op5_ordinal_toxicity": toxicity.op5_ordinal_toxicity,
+    "op6_compact_window_passages": substrings.op6_compact_window_passages,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_simhash_pigeonring": simhash.op8_simhash_pigeonring,
     "op9_zstd_secrets": secrets.op9_zstd_secrets,

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words and pieces a worker keeps before it starts anew.
-WORDS, PIECES = 700_000, 700_000
+WORDS, PIECES = 1_100_000, 800_000
 SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The vocabulary's pattern, after lower-casing, on the characters that SAFE allows.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -127,21 +127,34 @@ class WordBpe:
         return [flat[e - 4 * k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
 
     def _learn(self, words: set[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
-        new: set[str] = set()
+        # Most words are letters and perhaps a mark at the end: a piece, or two. The others are cut by the pattern.
+        plain, stems, ended, others = [], [], [], {}
         for word in words:
-            text = word.decode()
-            if not self.fast or not SAFE.fullmatch(text) or any(t in text for t in self.special):
-                self.words[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            cut[word] = found = PIECE.findall(text.lower())
-            new.update(p for p in found if p not in self.pieces)
+            text = word.decode().lower()
+            stem = text.rstrip(".,")
+            if not self.fast or not stem.isalpha() or not (word.isascii() or SAFE.fullmatch(text)):
+                others[word] = text
+            elif len(stem) == len(text):
+                plain.append(word)
+                stems.append(stem)
+            else:
+                ended.append((word, stem, text[len(stem) :]))
+        cut: dict[bytes, list[str]] = {}
+        for word, text in others.items():
+            if self.fast and SAFE.fullmatch(word.decode()) and not any(t in word.decode() for t in self.special):
+                cut[word] = PIECE.findall(text)
+            else:
+                self.words[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        needed = {*stems, *(s for _, s, _ in ended), *(m for _, _, m in ended)}.union(*cut.values())
+        new = needed.difference(self.pieces)
         if len(self.pieces) + len(new) > PIECES:
             self.pieces.clear()
-            new = {p for found in cut.values() for p in found}
-        names = list(new)
-        self.pieces.update(zip(names, self.merge([p.encode() for p in names]), strict=True))
-        self.words.update((word, b"".join([self.pieces[p] for p in found])) for word, found in cut.items())
+            new = needed
+        names, pieces = list(new), self.pieces
+        pieces.update(zip(names, self.merge([p.encode() for p in names]), strict=True))
+        self.words.update(zip(plain, map(pieces.__getitem__, stems), strict=True))
+        self.words.update([(word, pieces[stem] + pieces[mark]) for word, stem, mark in ended])
+        self.words.update([(word, b"".join([pieces[p] for p in found])) for word, found in cut.items()])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit bytes."""
