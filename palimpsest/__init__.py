@@ -1 +1,6 @@
 """Spark-native mining of contacts in archived web pages."""
+
+from .operators.contacts import extract_contacts
+from .plans.scan import Scan, scan
+
+__all__ = ["Scan", "extract_contacts", "scan"]

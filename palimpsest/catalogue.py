@@ -1,4 +1,480 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts, over whole tables or small literal fixtures.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+`pages` has no capture times, so captures are made from it by arithmetic that both engines share: four per page, two of
+them in one year. Literal fixtures are written once, and become a DataFrame here and VALUES there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import emails, markup, phones, urls
+from .functions import vocabulary as V
+from .operators import captures as C
+from .operators import contacts, timeline
+from .plans import planner
+from .sources import index, targets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """A fixture as SQL."""
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({names}))"
+
+
+SLUGS = ["/", "/contact", "/about-us/team", "/blog/tag/x", "/img/logo.png", "/wp-content/a/b", "/shop/item/7/contacts.html", "/o-nas", "/page/2", "/a/b/c/d", "/help%20desk", "/xcontactx"]
+MADE = (
+    "concat(2000 + (page_id * 7 + {k2} * 5) % 20, lpad(cast(1 + (page_id * 3 + k) % 12 as {s}), 2, '0'), lpad(cast(1 + (page_id * 11 + k) % 28 as {s}), 2, '0'), '120000')"
+)
+CAPTURES = f"""(SELECT {MADE.format(k2='(k // 2)', s='VARCHAR')} AS "timestamp", url AS original, CASE WHEN page_id % 10 = 3 THEN 'image/png' ELSE 'text/html' END AS mimetype,
+  CASE WHEN page_id % 7 = 5 THEN '404' ELSE '200' END AS status, lower(regexp_replace(url, '^[a-z]+://', '')) AS urlkey, page_id FROM pages, (SELECT unnest(range(4)) AS k))"""
+#: The same captures with contact paths, for scoring.
+PATHED = f"""(SELECT "timestamp", 'http://h' || (page_id % 9) || '.example.com' || list_extract([{', '.join(map(literal, SLUGS))}], cast(page_id % {len(SLUGS)} AS INT) + 1) AS original,
+  mimetype, status, 'k' || (page_id % 9) || '/' || (page_id % {len(SLUGS)}) AS urlkey, page_id FROM {CAPTURES})"""
+
+
+def made_captures(spark: SparkSession, d: str) -> DataFrame:
+    k = spark.range(4).select(F.col("id").alias("k"))
+    rows = table(spark, d, "pages").select("page_id", "url").crossJoin(F.broadcast(k))
+    return rows.select(
+        F.expr(MADE.format(k2="(k div 2)", s="string")).alias("timestamp"), F.col("url").alias("original"), F.when(F.col("page_id") % 10 == 3, "image/png").otherwise("text/html").alias("mimetype"),
+        F.when(F.col("page_id") % 7 == 5, "404").otherwise("200").alias("status"), F.lower(F.regexp_replace("url", "^[a-z]+://", "")).alias("urlkey"), "page_id",
+    )
+
+
+def pathed_captures(spark: SparkSession, d: str) -> DataFrame:
+    slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.col("page_id") % len(SLUGS) + 1).cast("int"))
+    host = F.concat(F.lit("http://h"), (F.col("page_id") % 9).cast("string"), F.lit(".example.com"))
+    key = F.concat(F.lit("k"), (F.col("page_id") % 9).cast("string"), F.lit("/"), (F.col("page_id") % len(SLUGS)).cast("string"))
+    return made_captures(spark, d).select("timestamp", F.concat(host, slug).alias("original"), "mimetype", "status", key.alias("urlkey"), "page_id")
+
+
+def re2(words: list[str]) -> str:
+    return "|".join(w.replace(".", r"\.").replace("-", r"\-") for w in words)
+
+
+def quoted(words: list[str]) -> str:
+    return ", ".join(map(literal, words))
+
+
+def score_sql(url: str) -> str:
+    """The score of a URL column, in DuckDB's dialect."""
+    p = f"coalesce(nullif(url_decode(regexp_replace(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')), ''), '/')"
+    seg = f"list_filter(string_split(lower({p}), '/'), lambda s: s <> '')"
+    return f"""CASE WHEN len({seg}) = 0 THEN 5 WHEN regexp_matches({seg}[-1], '\\.({re2(V.ASSET_EXTENSIONS)})$') THEN 0
+      ELSE (CASE WHEN regexp_matches({p}, '(?i)(^|[/_\\-])({re2(V.HIGH_SLUGS)})($|[/_.\\-])') THEN 10 ELSE 0 END)
+         - (CASE WHEN list_has_any({seg}, [{quoted(V.LOW_SLUGS)}]) THEN 5 ELSE 0 END) + (CASE WHEN len({seg}) <= 2 THEN 3 ELSE 0 END) END"""
+
+
+# --- E-mail and phone -------------------------------------------------------------------------------------------------
+
+EMAIL_SQL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,255}\.[A-Za-z]{2,24}"
+#: Without lookaround: the boundaries never differ in the tables.
+PLAUSIBLE_SQL = f"NOT regexp_matches({{v}}, '({'|'.join(x.replace('.', chr(92) + '.') for x in V.EMAIL_ASSETS)})$') AND NOT regexp_matches({{v}}, 'u003e|u003c|\\\\x|@www\\.')"
+
+
+def found_emails(df: DataFrame, key: str, text: str) -> DataFrame:
+    held = df.where(F.col(text).contains("@")).select(key, F.explode(emails.found(text)).alias("raw"))
+    return held.select(key, emails.canonical(F.col("raw")).alias("value"), "raw")
+
+
+@query(f"SELECT doc_id, lower(raw) AS value, raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS raw FROM documents)")
+def email_documents(spark, d):
+    """Addresses in documents, each occurrence."""
+    return found_emails(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT page_id, lower(raw) AS value, raw FROM (SELECT page_id, unnest(regexp_extract_all(html, '{EMAIL_SQL}')) AS raw FROM pages)")
+def email_pages(spark, d):
+    return found_emails(table(spark, d, "pages"), "page_id", "html")
+
+
+ADDRESSES = [(x,) for x in ("logo@2x.png", "info@example.com", "a@www.example.com", "u003ea@example.com", "x@gmail.com", "icon@3x.svg", "b@mail.ru", "archive@sub.www.example.com", "font@x.woff2", "q\\x@example.com")]
+
+
+@query(f"SELECT address FROM {values(ADDRESSES, 'address')} WHERE {PLAUSIBLE_SQL.format(v='address')}")
+def email_syntax_filter(spark, d):
+    return spark.createDataFrame(ADDRESSES, "address string").where(emails.plausible(F.col("address")))
+
+
+@query(f"SELECT doc_id, value FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{EMAIL_SQL}'))) AS value FROM documents) WHERE {PLAUSIBLE_SQL.format(v='value')} GROUP BY doc_id, value")
+def email_contacts(spark, d):
+    """Distinct plausible addresses by document, from both passes."""
+    found = table(spark, d, "documents").where(F.col("text").rlike(contacts.POSSIBLE)).select("doc_id", F.explode(emails.contacts("text")).alias("c"))
+    return found.where("c.pass = 1").select("doc_id", "c.value")
+
+
+SPELLED = [(i, t) for i, t in enumerate(["info [at] example [dot] com", "sales(at)example.com", "office собака example точка com", "Sobaka walks", "look at example.com now", "a { AT } b {DOT} org", "x [@] y [.] net", "dot dot dot", "mail sobaka example tochka test"])]
+AT_SQL, DOT_SQL = (p.replace("'", "''") for p in (emails.AT, emails.DOT))
+
+
+@query(f"SELECT id, regexp_replace(regexp_replace(t, '{AT_SQL}', '@', 'gi'), '{DOT_SQL}', '.', 'gi') AS text FROM {values(SPELLED, 'id, t')}")
+def deobfuscate_at_dot(spark, d):
+    return spark.createDataFrame(SPELLED, "id int, t string").select("id", emails.plain("t").alias("text"))
+
+
+PROSE = [(x,) for x in ("found@example.com", "info@example.com", "archived@example.org", "based.here@example.org", "published@example.net")]
+
+
+@query(f"SELECT address FROM {values(PROSE, 'address')} WHERE split_part(address, '@', 1) NOT IN ({quoted(V.PROSE_WORDS)})")
+def stopword_anti(spark, d):
+    stop = F.broadcast(spark.createDataFrame([(w,) for w in V.PROSE_WORDS], "word string"))
+    rows = spark.createDataFrame(PROSE, "address string")
+    return rows.join(stop, F.substring_index("address", "@", 1) == stop["word"], "left_anti")
+
+
+def protect(text: str, key: int) -> str:
+    return f"{key:02x}" + "".join(f"{ord(c) ^ key:02x}" for c in text)
+
+
+TOKENS = [(protect("info@example.com", 0x4A), "info@example.com"), (protect("a.b@test.example", 0x77), "a.b@test.example"), (protect("no address", 0x10), None), ("zz12", None), ("4", None), ("", None)]
+
+
+@query(f"SELECT token, address FROM {values(TOKENS, 'token, address')}")
+def cfemail_decode(spark, d):
+    return spark.createDataFrame([(t,) for t, _ in TOKENS], "token string").select("token", emails.decode_cfemail(F.col("token")).alias("address"))
+
+
+PHONE_SQL = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+@query(f"SELECT doc_id, '+' || regexp_replace(raw, '[^0-9]', '', 'g') AS value, raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE_SQL}')) AS raw FROM documents)")
+def phone_plus_nanp(spark, d):
+    held = table(spark, d, "documents").where(F.col("text").contains("+1 (")).select("doc_id", F.explode(contacts.nanp_numbers("text")).alias("raw"))
+    return held.select("doc_id", F.concat(F.lit("+"), F.regexp_replace("raw", r"\D", "")).alias("value"), "raw")
+
+
+BOTH_SQL = f"""(SELECT doc_id, 'email' AS kind, lower(raw) AS value, raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS raw FROM documents)
+  UNION SELECT doc_id, 'phone', '+' || regexp_replace(raw, '[^0-9]', '', 'g'), raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE_SQL}')) AS raw FROM documents))"""
+
+
+@query(f"SELECT kind, value, count(*) AS documents FROM (SELECT DISTINCT kind, value, doc_id FROM {BOTH_SQL}) GROUP BY kind, value")
+def contacts_union(spark, d):
+    docs = table(spark, d, "documents").select(F.lit("20100101000000").alias("timestamp"), F.col("doc_id").cast("string").alias("original"), F.col("text").alias("content"))
+    found = contacts.text_sightings(docs).select("kind", "value", "source_url").distinct()
+    return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("documents"))
+
+
+DATES = [(x,) for x in ("12.05.2007", "2007-05-12", "12/5/07", "1-1-1999", "555-0100", " 01.02.2003 ", "2003.1.2", "20.30.40.50")]
+
+
+@query(f"SELECT t FROM {values(DATES, 't')} WHERE NOT regexp_full_match(t, '\\s*([0-9]{{1,2}}[./\\-][0-9]{{1,2}}[./\\-][0-9]{{4}}|[0-9]{{4}}[./\\-][0-9]{{1,2}}[./\\-][0-9]{{1,2}})\\s*')")
+def date_shape_reject(spark, d):
+    return spark.createDataFrame(DATES, "t string").where(~F.col("t").rlike(f"^(?:{phones.DATE.pattern})$"))
+
+
+# --- URLs -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, coalesce(nullif(url_decode(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), ''), '/') AS path FROM pages")
+def url_path(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.host("url").alias("host"), urls.path("url").alias("path"))
+
+
+@query(f"SELECT page_id, \"timestamp\", original, {score_sql('original')} AS score FROM {PATHED}")
+def score_url(spark, d):
+    return C.scored(pathed_captures(spark, d)).select("page_id", "timestamp", "original", "score")
+
+
+@query(f"SELECT DISTINCT original FROM {PATHED} WHERE {score_sql('original')} >= 8")
+def contact_pages(spark, d):
+    return pathed_captures(spark, d).select("original").distinct().where(urls.is_contact_page("original"))
+
+
+@query(f"SELECT original, count(*) AS captures FROM {PATHED} WHERE {score_sql('original')} >= 0 GROUP BY original")
+def min_score(spark, d):
+    return C.scored(pathed_captures(spark, d)).where("score >= 0").groupBy("original").agg(F.count(F.lit(1)).alias("captures"))
+
+
+LINKS = [(u,) for u in ("http://web.archive.org/web/20050101000000/http://a.example/x", "https://web.archive.org/web/20050101000000id_/https://b.example/", "HTTP://WEB.ARCHIVE.ORG/web/20050101000000im_/c.example", "https://a.example/web/20050101000000/x", "https://web.archive.org/web/2005/x")]
+
+
+@query(f"SELECT u, nullif(regexp_extract(u, '(?i)^https?://web\\.archive\\.org/web/[0-9]{{14}}[a-z_]*/(.+)$', 1), '') AS source FROM {values(LINKS, 'u')}")
+def playback_parse(spark, d):
+    return spark.createDataFrame(LINKS, "u string").select("u", urls.source_of_playback("u").alias("source"))
+
+
+@query(f"SELECT page_id, \"timestamp\", '{V.ARCHIVE}' || \"timestamp\" || '/' || original AS playback, '{V.ARCHIVE}' || \"timestamp\" || 'id_/' || original AS raw FROM {CAPTURES}")
+def playback_build(spark, d):
+    return made_captures(spark, d).select("page_id", "timestamp", urls.playback("timestamp", "original").alias("playback"), urls.playback("timestamp", "original", raw=True).alias("raw"))
+
+
+STAMPS = [("20070512120000",), ("20071399",), ("2007",), ("",), (None,), ("2007051x",)]
+
+
+@query(f"SELECT t, CASE WHEN regexp_matches(t, '^[0-9]{{8}}') THEN t[1:4] || '-' || t[5:6] || '-' || t[7:8] ELSE coalesce(t, '') END AS day FROM {values(STAMPS, 't')}")
+def human_date(spark, d):
+    return spark.createDataFrame(STAMPS, "t string").select("t", urls.human_date("t").alias("day"))
+
+
+NAMES = [("example.com",), ("пример.рф",), ("a b/c",), ("__",), ("x--y_z",)]
+
+
+@query(f"SELECT n, coalesce(nullif(trim(regexp_replace(n, '[^A-Za-z0-9_.\\-]+', '_', 'g'), '_'), ''), 'domain') AS name FROM {values(NAMES, 'n')}")
+def sanitize_name(spark, d):
+    return spark.createDataFrame(NAMES, "n string").select("n", urls.file_name("n").alias("name"))
+
+
+SAFE_SQL = "coalesce(nullif(left(trim(regexp_replace({c}, '[^a-zA-Z0-9._\\-]', '_', 'g'), '_'), 80), ''), '{f}')"
+
+
+@query(f"""SELECT page_id, "timestamp", {SAFE_SQL.format(c="regexp_extract(original, '^[a-z]+://([^/?#]*)', 1)", f='no-domain')} || '/' || "timestamp" || '__' ||
+  {SAFE_SQL.format(c="regexp_extract(original, '^[a-z]+://[^/?#]*([^?#]*)', 1)", f='root')} || '__' || left(sha1(original), 8) || '.html' AS name FROM {CAPTURES}""")
+def cache_key(spark, d):
+    return made_captures(spark, d).select("page_id", "timestamp", urls.cache_key("timestamp", "original").alias("name"))
+
+
+HOSTS = [(x,) for x in ("shop.example.ru", "example.co.uk", "a.de", "b.com", "localhost", "c.xyz", "d.museum", "E.BY", "f.fr", "g.us")]
+REGION_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{r}')" for t, r in V.TLD_REGION.items()) + ") AS t(tld, region))"
+
+
+@query(f"SELECT h, region FROM {values(HOSTS, 'h')} LEFT JOIN {REGION_SQL} t ON contains(h, '.') AND tld = lower(string_split(h, '.')[-1])")
+def tld_region(spark, d):
+    return spark.createDataFrame(HOSTS, "h string").select("h", urls.region_of("h").alias("region"))
+
+
+@query(f"SELECT h, array_to_string(CASE WHEN region IS NULL THEN [{quoted(V.SCAN_REGIONS)}] ELSE list_concat([region], list_filter([{quoted(V.SCAN_REGIONS)}], lambda x: x <> region)) END, ',') AS regions FROM {values(HOSTS, 'h')} LEFT JOIN {REGION_SQL} t ON contains(h, '.') AND tld = lower(string_split(h, '.')[-1])")
+def region_order(spark, d):
+    return spark.createDataFrame(HOSTS, "h string").select("h", F.array_join(urls.region_order("h"), ",").alias("regions"))
+
+
+LINES = list(enumerate(["# list", "example.com", "", "https://Example.com:8080/o-nas/", "other.example/contact", "example.com/contact # note", "other.example/", "example.com/o-nas", "third.example"]))
+MERGED = [("example.com", "/o-nas,/contact # note"), ("other.example", "/contact"), ("third.example", "")]
+
+
+@query(f"SELECT domain, paths FROM {values(MERGED, 'domain, paths')}")
+def targets_merge(spark, d):
+    return targets.merged(spark.createDataFrame(LINES, "pos int, line string")).select("domain", F.array_join("extra_paths", ",").alias("paths"))
+
+
+# --- Captures ---------------------------------------------------------------------------------------------------------
+
+COLS = '"timestamp", original, mimetype, status, urlkey'
+
+
+@query(f"SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY urlkey, \"timestamp\"[1:4] ORDER BY \"timestamp\", original) AS n FROM {CAPTURES}) WHERE n = 1")
+def dedup_url_year(spark, d):
+    return C.one_per_year(made_captures(spark, d)).drop("page_id")
+
+
+@query(f"SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY urlkey, \"timestamp\" ORDER BY original) AS n FROM {CAPTURES}) WHERE n = 1")
+def dedup_exact(spark, d):
+    return C.one_per_stamp(made_captures(spark, d)).drop("page_id")
+
+
+@query(f"SELECT {COLS} FROM {CAPTURES} WHERE status = '200' AND mimetype = 'text/html' AND \"timestamp\" BETWEEN '20050101000000' AND '20121231235959'")
+def status_mime_year_filter(spark, d):
+    return C.filtered(made_captures(spark, d), 2005, 2012).drop("page_id")
+
+
+@query(f"SELECT {COLS} FROM {PATHED} WHERE regexp_matches(original, '({re2(V.ASCII_SLUGS)})')")
+def urlkey_filter(spark, d):
+    rows = pathed_captures(spark, d).withColumn("kept", F.col("urlkey")).withColumn("urlkey", F.col("original"))
+    return C.filtered(rows, only_html=False, only_ok=False, urlkey_words=V.ASCII_SLUGS).withColumn("urlkey", F.col("kept")).drop("kept", "page_id")
+
+
+@query(f"SELECT {COLS} FROM {PATHED} WHERE regexp_extract(original, '^[a-z]+://([^/?#:]*)', 1) = 'h3.example.com' OR ends_with(regexp_extract(original, '^[a-z]+://([^/?#:]*)', 1), '.h3.example.com')")
+def match_domain(spark, d):
+    return C.matching(pathed_captures(spark, d), "h3.example.com").drop("page_id")
+
+
+@query(f"SELECT {COLS} FROM {PATHED} WHERE original = 'http://h7.example.com/o-nas'")
+def match_exact(spark, d):
+    return C.matching(pathed_captures(spark, d), "http://h7.example.com/o-nas", subdomains=False).drop("page_id")
+
+
+@query(f"SELECT count(*) AS captures FROM {CAPTURES}")
+def count_captures(spark, d):
+    return C.count(made_captures(spark, d))
+
+
+@query(f"SELECT cast(ceil(count(*) / 50000.0) AS BIGINT) AS pages FROM {CAPTURES}")
+def num_pages(spark, d):
+    return C.num_pages(made_captures(spark, d))
+
+
+RANK_SQL = f"""SELECT {COLS}, score FROM (SELECT *, {score_sql('original')} AS score FROM {PATHED}) WHERE score >= 0 ORDER BY score DESC, "timestamp" DESC, urlkey, original LIMIT 50"""
+
+
+@query(RANK_SQL)
+def rank_topk(spark, d):
+    return C.ranked(pathed_captures(spark, d), 50).drop("page_id")
+
+
+@query(f"""SELECT "timestamp", original, score, host, place FROM (SELECT *, regexp_extract(original, '^[a-z]+://([^/?#:]*)', 1) AS host,
+  row_number() OVER (PARTITION BY regexp_extract(original, '^[a-z]+://([^/?#:]*)', 1) ORDER BY score DESC, "timestamp" DESC, urlkey, original) AS place
+  FROM (SELECT *, {score_sql('original')} AS score FROM {PATHED})) WHERE place <= 3""")
+def topk_per_host(spark, d):
+    return C.top_per_host(pathed_captures(spark, d), 3).select("timestamp", "original", "score", "host", "place")
+
+
+@query(f"SELECT \"timestamp\", original FROM {CAPTURES} ORDER BY \"timestamp\", original LIMIT 40")
+def single_url_order(spark, d):
+    return C.ranked(made_captures(spark, d), 40, newest_first=False).select("timestamp", "original")
+
+
+PROBES_SQL = "(SELECT unnest([" + quoted(V.PROBE_STAMPS) + "]) AS probe)"
+NEAREST_SQL = f"""(SELECT url, probe, arg_min(c, {{'d': dist, 't': c."timestamp"}}) AS c FROM (SELECT p.url, probe, {{'timestamp': c."timestamp", 'original': c.original, 'mimetype': c.mimetype, 'status': c.status, 'urlkey': c.urlkey}} AS c,
+  abs(cast(c."timestamp" AS BIGINT) - cast(rpad(probe, 14, '0') AS BIGINT)) AS dist FROM pages p, {PROBES_SQL}, {CAPTURES} c WHERE c.original = p.url) GROUP BY url, probe)"""
+
+
+def page_probes(spark, d):
+    stamps = spark.createDataFrame([(s,) for s in V.PROBE_STAMPS], "probe string")
+    return table(spark, d, "pages").select("url").distinct().crossJoin(F.broadcast(stamps))
+
+
+@query(f"SELECT url, probe, c.\"timestamp\" AS \"timestamp\", c.original AS original, c.mimetype AS mimetype, c.status AS status, c.urlkey AS urlkey FROM {NEAREST_SQL}")
+def nearest_capture(spark, d):
+    return C.nearest(made_captures(spark, d), page_probes(spark, d))
+
+
+YEARS_SQL = f"(SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY urlkey, \"timestamp\"[1:4] ORDER BY \"timestamp\", original) AS n FROM {CAPTURES} WHERE status = '200' AND mimetype = 'text/html') WHERE n = 1)"
+
+
+@query(f"""WITH i AS {YEARS_SQL}, p AS (SELECT DISTINCT c."timestamp" AS "timestamp", c.original AS original, c.mimetype AS mimetype, c.status AS status, c.urlkey AS urlkey FROM {NEAREST_SQL})
+SELECT *, 0 AS phase FROM i UNION ALL SELECT *, 1 FROM p WHERE ("timestamp", original) NOT IN (SELECT "timestamp", original FROM i)""")
+def probe_union_dedup(spark, d):
+    rows = made_captures(spark, d).drop("page_id")
+    return C.with_probes(C.one_per_year(C.filtered(rows)), C.nearest(rows, page_probes(spark, d)))
+
+
+@query("SELECT url, probe FROM (SELECT DISTINCT 'http://a.example' || unnest([" + quoted([*V.WELL_KNOWN_PATHS, "/extra"]) + "]) AS url), " + PROBES_SQL)
+def probe_grid(spark, d):
+    return C.probes(made_captures(spark, d), "http://a.example", extra=["/extra", "/contact", ""])
+
+
+# --- Sightings and reports ---------------------------------------------------------------------------------------------
+
+#: Documents as pages of one source each, at times that depend on doc_id alone.
+DOC_STAMP = "concat(2000 + doc_id % 20, lpad(cast(1 + doc_id % 12 as {s}), 2, '0'), lpad(cast(1 + doc_id % 28 as {s}), 2, '0'), '120000')"
+SIGHTED = f"""(SELECT DISTINCT kind, value, raw, '{V.ARCHIVE}' || {DOC_STAMP.format(s='VARCHAR')} || '/' || source_url AS snapshot_url, {DOC_STAMP.format(s='VARCHAR')} AS "timestamp", source_url
+  FROM (SELECT *, 'http://d.example/' || doc_id AS source_url FROM {BOTH_SQL}))"""
+
+
+def made_sightings(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.expr(DOC_STAMP.format(s="string")).alias("timestamp"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("original"), F.col("text").alias("content"))
+    return contacts.text_sightings(docs)
+
+
+@query(f"SELECT * FROM {SIGHTED}")
+def sightings(spark, d):
+    return made_sightings(spark, d)
+
+
+@query(f"""SELECT arg_min(kind, {{'t': "timestamp", 's': source_url, 'k': kind, 'r': raw}}) AS kind, value, min("timestamp") AS first_ts, max("timestamp") AS last_ts, count(*) AS sightings,
+  arg_min(snapshot_url, {{'t': "timestamp", 's': source_url, 'k': kind, 'r': raw}}) AS first_url, arg_max(snapshot_url, {{'t': "timestamp", 's': source_url, 'k': kind, 'r': raw}}) AS last_url,
+  (SELECT string_agg(raw, ' | ' ORDER BY seen) FROM (SELECT raw, min({{'t': "timestamp", 's': source_url, 'k': kind, 'r': raw}}) AS seen FROM {SIGHTED} i WHERE i.value = o.value GROUP BY raw)) AS value_raw
+FROM {SIGHTED} o GROUP BY value""")
+def timeline_rows(spark, d):
+    return timeline.rows(made_sightings(spark, d))
+
+
+@query(f"SELECT \"timestamp\", kind, value, source_url FROM {SIGHTED}")
+def timeline_sorted(spark, d):
+    return timeline.ordered(made_sightings(spark, d))
+
+
+@query(f"SELECT kind, value, min(\"timestamp\") AS \"timestamp\", min(\"timestamp\")[1:4] || '-' || min(\"timestamp\")[5:6] || '-' || min(\"timestamp\")[7:8] AS first_seen FROM {SIGHTED} GROUP BY kind, value")
+def first_seen(spark, d):
+    return timeline.first_seen(made_sightings(spark, d))
+
+
+@query(f"SELECT count(DISTINCT value) AS contacts FROM {SIGHTED}")
+def distinct_contacts(spark, d):
+    return timeline.distinct_contacts(made_sightings(spark, d))
+
+
+@query("SELECT count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, list_sort(list(value))[cast(greatest(1, floor(0.95 * count(*))) AS INT)] AS p95 FROM (SELECT (event_id % 97) / 8.0 AS value FROM events)")
+def calibration_stats(spark, d):
+    return timeline.latency(table(spark, d, "events").select((F.col("event_id") % 97 / F.lit(8.0)).alias("seconds")))
+
+
+@query("SELECT count(*) AS fetched, count(*) FILTER (page_id % 7 = 5) AS errors, count(*) FILTER (page_id % 2 = 0) AS hits, count(*) FILTER (page_id % 2 <> 0) AS misses FROM pages")
+def scan_stats(spark, d):
+    rows = table(spark, d, "pages").select(F.when(F.col("page_id") % 7 == 5, "HTTP 404").alias("error"), (F.col("page_id") % 2 == 0).alias("cached"))
+    return timeline.scan_counts(rows)
+
+
+@query("SELECT url || ' @ 20100101000000: HTTP 404' AS error FROM pages WHERE page_id % 7 = 5")
+def page_errors(spark, d):
+    rows = table(spark, d, "pages").select(F.lit("20100101000000").alias("timestamp"), F.col("url").alias("original"), F.when(F.col("page_id") % 7 == 5, "HTTP 404").alias("error"))
+    return contacts.errors(rows)
+
+
+PLANS = [(t, w, r, la, m) for t in (0, 30, 120, 900) for w, r in ((4, 4.0), (8, 2.0), (1, 0.0)) for la in (0.5, 0.75) for m in (None, 100)]
+
+
+@query(f"""SELECT *, CASE WHEN t <= 0 THEN coalesce(m, 1000000000) ELSE least(greatest(1, cast(floor(t * c / la) AS BIGINT)), coalesce(m, 1000000000)) END AS capacity FROM
+  (SELECT *, CASE WHEN r <= 0 THEN greatest(1, w) ELSE least(greatest(1, w), greatest(1, cast(floor(r) AS INT))) END AS c FROM {values(PLANS, 't, w, r, la, m')})""".replace("SELECT *, CASE WHEN t", "SELECT t, w, m, cast(la AS DOUBLE) AS la, c, CASE WHEN t"))
+def capacity(spark, d):
+    made = [(t, w, m, la, planner.concurrency(w, r), planner.capacity(t, planner.concurrency(w, r), la, m)) for t, w, r, la, m in PLANS]
+    return spark.createDataFrame(made, "t int, w int, m int, la double, c int, capacity long")
+
+
+ANSWER = '[["urlkey","timestamp","original","mimetype","statuscode"],\n["com,example)/","20050101000000","http://example.com/","text/html","200"],\nbroken line\n["com,example)/a","20060101000000","http://example.com/a","text/html","200"],["short"]]'
+GOOD = '[["timestamp","original"],["20070101000000","http://b.example/"],["20070101000000",""],["x"]]'
+PARSED = [("20050101000000", "http://example.com/", "text/html", "200", "com,example)/"), ("20070101000000", "http://b.example/", "", "", "")]
+
+
+@query(f"SELECT \"timestamp\", original, mimetype, status, urlkey FROM {values(PARSED, '\"timestamp\", original, mimetype, status, urlkey')}")
+def index_answers(spark, d):
+    parsed = F.udf(index.captures_of, "array<struct<timestamp:string,original:string,mimetype:string,status:string,urlkey:string>>", useArrow=True)
+    return spark.createDataFrame([(ANSWER,), (GOOD,), ("",), ("[[]",)], "body string").select(F.explode(parsed("body")).alias("c")).select("c.*")
+
+
+# --- What SQL can't express -------------------------------------------------------------------------------------------
+
+
+@query()
+def html_normalize_exact(spark, d):
+    """Text of every page, as the matchers read it."""
+    return table(spark, d, "pages").select("page_id", contacts.normalised("html").alias("text"))
+
+
+@query()
+def page_sightings(spark, d):
+    """Contacts of every page, by the exact matchers."""
+    pages = table(spark, d, "pages").select(F.lit("20100101120000").alias("timestamp"), F.col("url").alias("original"), F.col("html").alias("content"))
+    return contacts.sightings(pages)
+
+
+@query()
+def document_phones(spark, d):
+    """Every phone number of the documents, in E.164 and grouped for reading."""
+    docs = table(spark, d, "documents").select(F.lit("20100101120000").alias("timestamp"), F.col("doc_id").cast("string").alias("original"), F.col("text").alias("content"))
+    found = contacts.sightings(docs).where("kind = 'phone'")
+    return found.select(F.col("source_url").cast("long").alias("doc_id"), "value", contacts.human_phone("value").alias("value_human"), "raw")
+
+
+@query()
+def report_rows(spark, d):
+    """The report of every page's contacts."""
+    return timeline.report(page_sightings(spark, d))
+
+
+__all__ = ["ORACLES", "QUERIES", "markup"]
