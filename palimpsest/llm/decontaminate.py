@@ -77,14 +77,16 @@ class Items:
         ids = np.zeros(int(first[-1]), np.int32)
         for f, e in zip(first.tolist(), each, strict=False):
             ids[f : f + len(e)] = e
+        if len(ids) < SEED or not len(self.kinds):
+            return ids, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = ids > 0
         run = known[: len(ids) - SEED + 1].copy()
         for k in range(1, SEED):
             run &= known[k : len(ids) - SEED + 1 + k]
         at = np.flatnonzero(run)
         gram = _hash([ids[at + k] for k in range(SEED)])
-        kind = np.minimum(np.searchsorted(self.kinds, gram), max(0, len(self.kinds) - 1))
-        hit = self.kinds[kind] == gram if len(self.kinds) else np.zeros(len(gram), bool)
+        kind = np.minimum(np.searchsorted(self.kinds, gram), len(self.kinds) - 1)
+        hit = self.kinds[kind] == gram
         return ids, first, at[hit], kind[hit]
 
     def holders(self, texts: list[bytes]) -> np.ndarray:

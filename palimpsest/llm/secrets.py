@@ -1,7 +1,7 @@
 """Secrets: three base patterns, and strings in sensitive context that are novel to a primed zstandard compressor.
 
 A candidate is a run of token characters, of CANDIDATE or more, within CONTEXT characters after a sensitive word. The
-compressor's dictionary is a list of common identifiers and the text around the candidate, its own occurrence left out. What the
+compressor's dictionary is a list of common identifiers and the text around the candidate. What the
 candidate adds, in bytes, over compressing nothing is its marginal size: names, words and repeats of what stands nearby
 cost little, random keys almost their whole entropy. Candidates of at least NOVELTY marginal bytes per character, and
 that hold a digit and a letter, are reported as kind `novel`, unless they overlap a base span. Base spans stay as they are.
@@ -56,7 +56,7 @@ def marginal_bytes(text: str, start: int, end: int) -> int:
     import zstandard
 
     own = text[start:end]
-    around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).replace(own, " ")
+    around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
     prime = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     squeeze = zstandard.ZstdCompressor(level=19, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
     return len(squeeze.compress(own.encode())) - len(squeeze.compress(b""))

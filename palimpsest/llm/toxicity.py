@@ -1,9 +1,9 @@
 """Severity of toxic language by cumulative-link (proportional-odds) regression on sparse text features.
 
 Grades are ordered: 0 clean, then GRADES - 1 grades of toxic documents, cut at equal shares of the labelled toxic ones by how
-dense their toxic features are (the labels themselves only say toxic or not). P(grade > k) = sigmoid(w.x - theta_k) with
-one w for all ordered thresholds theta. x holds log(1 + count) of each selected feature of the words of a text, whole words and
-word beginnings of 4 to 7 letters, and the log of their density. A document's result is its grade probabilities' sum,
+many words with toxic features they have (the labels themselves only say toxic or not). P(grade > k) = sigmoid(w.x - theta_k) with
+one w for all ordered thresholds theta. x holds log(1 + count) of each selected feature of the words of a text, whole
+words and word beginnings of 4 to 7 letters. A document's result is its grade probabilities' sum,
 the expected severity, and whether it is toxic at all, at P(grade > 0) >= 0.5.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE per label, by hash of doc_id, one per group of
@@ -30,8 +30,8 @@ from . import common
 
 SAMPLE = 6000
 GRADES = 4
-SUPPORT = 0.01
-LEAST_SUPPORT = 3
+SUPPORT = 0.02
+LEAST_SUPPORT = 5
 LIFT = 8.0
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
@@ -45,14 +45,14 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """index: column by feature; the last column is the density. theta: ascending."""
+    """index: column by feature. theta: ascending."""
 
     index: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     theta: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, 50.0))
 
     def counts(self, text: str, cache: dict) -> tuple[dict[int, int], int, int]:
-        """Counts by column, words with any feature, and words."""
+        """Counts by column, words with any feature, and all words."""
         found: dict[int, int] = {}
         words, hits = WORD.findall(text.lower()), 0
         for word in words:
@@ -67,24 +67,20 @@ class Model:
                     found[k] = found.get(k, 0) + 1
         return found, hits, len(words)
 
-    def probabilities(self, counts: dict[int, int], hits: int, words: int) -> list[float]:
+    def probabilities(self, counts: dict[int, int]) -> list[float]:
         """P(grade > k) for each threshold k."""
-        terms = [float(self.weights[k]) * math.log1p(n) for k, n in counts.items()]
-        score = math.fsum([*terms, float(self.weights[-1]) * density(hits, words)])
+        score = math.fsum(float(self.weights[k]) * math.log1p(n) for k, n in counts.items())
         return [1 / (1 + math.exp(min(700.0, float(t) - score))) for t in self.theta]
 
 
-def density(hits: int, words: int) -> float:
-    return math.log1p(1000 * hits / words) if words else 0.0
-
-
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by maximum likelihood; thresholds are a first one and the logs of the gaps, so they stay ordered."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.3, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by penalised maximum likelihood; thresholds are a first one and the logs of the gaps, so they stay ordered."""
     n, d = x.shape
     w, t = np.zeros(d), np.concatenate([[1.0], np.zeros(grades - 2)])
     m, v = np.zeros(d + grades - 1), np.zeros(d + grades - 1)
     above = np.arange(grades - 1)
     for step in range(1, steps + 1):
+        rate = 0.03 * (1 + math.cos(math.pi * step / steps)) / 2
         theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
         p = 1 / (1 + np.exp(-np.clip(x @ w[:, None] - theta, -40, 40)))  # P(grade > k)
         full = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
@@ -96,7 +92,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
         g_t = np.concatenate([[g_theta.sum()], [g_theta[k:].sum() * math.exp(t[k]) for k in range(1, grades - 1)]])
         g = np.concatenate([x.T @ part.sum(1) - l2 * w, g_t]) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w + move[:d], t + move[d:]
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
@@ -168,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     found = rows.mapInArrow(count, "toxic boolean, at array<int>, n array<int>, hits long, words long").collect()
     found.sort(key=lambda r: (r.toxic, r.words, r.hits, sorted(zip(r.at, r.n, strict=True))))
-    x = np.zeros((len(found), len(model.index) + 1))
+    x = np.zeros((len(found), len(model.index)))
     for i, r in enumerate(found):
         x[i, r.at] = np.log1p(r.n)
-        x[i, -1] = density(r.hits, r.words)
     toxic = np.array([r.toxic for r in found])
-    cuts = np.quantile(x[toxic, -1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, x[:, -1], side="right"), 0)
+    hits = np.array([r.hits for r in found])
+    cuts = np.quantile(hits[toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="right"), 0)
     model.weights, model.theta = fit_ordinal(x, grade)
     return model
 
@@ -189,7 +185,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         cache: dict = {}
         for batch in batches:
             for part in common.slices(batch):
-                above = [model.probabilities(*model.counts(t.decode(), cache)) for t in common.texts_of(part.column(1))]
+                above = [model.probabilities(model.counts(t.decode(), cache)[0]) for t in common.texts_of(part.column(1))]
                 severity = [math.fsum(p) for p in above]
                 each = [np.diff([-1.0, *(-x for x in p), 0.0]) for p in above]
                 columns = [part.column(0), pa.array(severity), pa.array([int(e.argmax()) for e in each], pa.int32()), pa.array([p[0] for p in above]), pa.array([p[0] >= 0.5 for p in above])]
