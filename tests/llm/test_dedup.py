@@ -170,15 +170,15 @@ def test_compact_windows_are_all_of_them():
 
 
 def test_passages(spark, tricky, nothing):
-    shared, other = prose(10, 60), prose(11, 80)
-    edited = " ".join("new" if i in (20, 60) else w for i, w in enumerate(other.split()))
+    shared, other = prose(10, 60), prose(11, 120)
+    edited = " ".join("new" if i in (30, 80) else w for i, w in enumerate(other.split()))
     texts = [prose(20, 200) + " " + shared + " " + prose(21, 100), prose(22, 50) + " " + shared, other, prose(23, 300) + " " + edited + " " + prose(24, 30), prose(25, 400), prose(26, 30) + " " + " ".join(shared.split()[:40]) + " " + prose(27, 90)]
     docs = spark.createDataFrame([full(i, t) for i, t in enumerate(texts)], tricky.schema)
     found = {(r.doc_id, r.source_doc_id): r for r in substrings.passages(docs).collect()}
     assert set(found) == {(1, 0), (3, 2)}
     one, two = found[1, 0], found[3, 2]
     assert texts[1].split()[one.start_word : one.end_word] == shared.split() == texts[0].split()[one.source_start_word : one.source_end_word]
-    assert two.similarity >= 0.8 and (two.start_word, two.end_word) == (300, 380)
+    assert two.similarity >= 0.8 and (two.start_word, two.end_word) == (300, 420)
     hits = {(r.doc_id, r.source_doc_id) for r in substrings.passages(tricky).collect()}
     assert (2, 1) in hits and any(d == 8 for d, _ in hits) and not any(d in (3, 4, 5, 6, 7) for d, _ in hits)
     assert substrings.passages(nothing).count() == 0
