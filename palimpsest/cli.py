@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from .functions import vocabulary as V
-from .plans import planner
+from .plans import calibration, planner
+from .plans.control import Progress
 from .plans.scan import scan, single_host
 from .sources import index, reports, targets
 
@@ -34,12 +35,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-snapshots", type=int)
     p.add_argument("--workers", type=int, default=4)
     p.add_argument("--rate", type=float, default=4.0)
-    p.add_argument("--latency", type=float, default=0.6)
+    p.add_argument("--latency", type=float, help="seconds a page; else what was measured last, else 0.6")
     p.add_argument("--regions", default=",".join(V.SCAN_REGIONS))
     p.add_argument("--no-escalate", action="store_true")
     p.add_argument("--csv")
     p.add_argument("--json", action="store_true")
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--verbose", action="store_true")
     return p
 
 
@@ -65,16 +67,21 @@ def main(argv: list[str] | None = None) -> int:
         print("--csv names one file; it can't be used with several targets", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("palimpsest").getOrCreate()
+    progress, known = Progress(not a.quiet, a.verbose), calibration.load()
+    latency = a.latency if a.latency is not None else known.avg_latency_s if known else calibration.FALLBACK
     captures, pages = index.read_captures(spark, a.captures), spark.read.parquet(a.pages)
     try:
         for domain, extra, url in wanted:
             if not a.quiet:
-                print(f"[*] {url or domain}", file=sys.stderr)
+                progress.status(f"[*] {url or domain}")
             s = scan(
-                captures, pages, domain, timeout=a.timeout, mode=a.mode, workers=a.workers, rate=a.rate, force_all=a.force_all, most=a.max_snapshots, latency=a.latency,
+                captures, pages, domain, timeout=a.timeout, mode=a.mode, workers=a.workers, rate=a.rate, force_all=a.force_all, most=a.max_snapshots, latency=latency,
                 min_score=a.min_score, from_year=a.from_year, to_year=a.to_year, subdomains=not a.no_subdomains, well_known=not a.no_well_known,
                 extra_paths=[*extra, *a.extra_path], regions=[r.strip().upper() for r in a.regions.split(",") if r.strip()], single_url=url, escalate=not a.no_escalate,
             )
+            if not a.quiet:
+                for r in s.rows.toLocalIterator():
+                    progress.contact(r.kind, r.value_human, r.first_seen, r.first_url)
             csv_path = a.csv or (None if a.json else reports.default_name(domain))
             if csv_path:
                 reports.write_csv(s, csv_path)

@@ -12,7 +12,7 @@ from ..functions import urls
 from ..functions import vocabulary as V
 from ..operators import captures as C
 from ..operators import contacts, timeline
-from . import planner
+from . import control, planner
 
 
 @dataclass
@@ -28,6 +28,8 @@ class Scan:
     elapsed_seconds: float = 0.0
     timeout_exhausted: bool = False
     interrupted: bool = False
+    index_truncated: bool = False
+    index_failed: bool = False
     resolved_mode: str = ""
     single_url: str | None = None
 
@@ -56,11 +58,27 @@ def should_probe(plan: planner.Plan, index_empty: bool, wanted: bool = True) ->
     return wanted and not (known and (index_empty or not plan.filtered))
 
 
+def _or_none(action):
+    """A size that can't be had is unknown."""
+    try:
+        return action()
+    except Exception:
+        return None
+
+
 def _once(captures, pages, domain, plan, *, min_score, well_known, extra_paths, regions, single_url, **limits) -> Scan:
     began = time.monotonic()
+    spark, notes, failed = captures.sparkSession, [], False
     index = candidates(captures, domain, plan, single_url=single_url, **limits).persist()
     try:
-        found = index.count()
+        budget = None if plan.unlimited else min(planner.index_budget(plan.timeout_seconds), max(0.0, plan.deadline - began))
+        try:
+            found, cut = control.within(spark, budget, index.count)
+        except Exception as e:  # the index can't be read: probing goes on without it
+            notes, failed, found, cut = [f"index: {str(e).splitlines()[0]}"], True, None, False
+        if found is None:
+            index.unpersist()
+            index, found = spark.createDataFrame([], C.COLUMNS), 0
         bound = None if plan.unlimited else plan.capacity
         chosen = C.ranked(index, bound, min_score, newest_first=single_url is None)
         considered = found
@@ -76,7 +94,8 @@ def _once(captures, pages, domain, plan, *, min_score, well_known, extra_paths,
         seen = contacts.sightings(read, regions).persist()
         seen.count()
         errors = [r.error for r in contacts.errors(read).orderBy("error").limit(1000).toLocalIterator()]
-        return Scan(domain, plan, seen, considered, counts.fetched - counts.errors, errors, time.monotonic() - began, time.monotonic() > plan.deadline, single_url=single_url)
+        took, late = time.monotonic() - began, time.monotonic() > plan.deadline
+        return Scan(domain, plan, seen, considered, counts.fetched - counts.errors, notes + errors, took, late, index_truncated=cut, index_failed=failed, single_url=single_url)
     finally:
         index.unpersist()
 
@@ -89,14 +108,14 @@ def scan(captures: DataFrame, pages: DataFrame, domain: str, *, timeout: float |
     timeout = seconds if timeout is None else timeout
     own = C.matching(captures, domain).persist()
     try:
-        pages_of_index = C.num_pages(own).first().pages
-        plan = planner.make(pages=pages_of_index, exact=lambda: C.count(own).first().captures, timeout=timeout, workers=workers, rate=rate, force_all=force_all or everything, most=most, latency=latency)
+        pages_of_index = _or_none(lambda: C.num_pages(own).first().pages)
+        plan = planner.make(pages=pages_of_index, exact=lambda: _or_none(lambda: C.count(own).first().captures), timeout=timeout, workers=workers, rate=rate, force_all=force_all or everything, most=most, latency=latency)
         options = {"min_score": min_score, "well_known": well_known, "extra_paths": extra_paths, "regions": host_regions(domain, regions), "single_url": single_url, "from_year": from_year, "to_year": to_year, "subdomains": subdomains}
         if plan.no_captures and not single_url:
             empty = captures.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in contacts.SIGHTINGS))
             return Scan(domain, plan, empty, resolved_mode=planner.resolved_mode(mode, plan))
         found = _once(own if not single_url else captures, pages, domain, plan, **options)
-        if escalate and not single_url and found.sightings.isEmpty():
+        if escalate and not single_url and not found.index_failed and found.sightings.isEmpty():
             again = planner.broaden(plan) if plan.filtered else planner.extend(plan, plan.timeout_seconds) if found.timeout_exhausted else None
             if again is not None:
                 found = _once(own, pages, domain, again, **options)

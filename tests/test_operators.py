@@ -1,4 +1,6 @@
+import io
 import json
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest import cli
 from palimpsest.operators import captures as C
 from palimpsest.operators import contacts, timeline
-from palimpsest.plans import calibration, planner
+from palimpsest.plans import calibration, control, planner
 from palimpsest.plans import scan as S
 from palimpsest.sources import index, pages, reports, targets
 from palimpsest.streaming import feed
@@ -183,6 +185,32 @@ def test_stream_first_seen(spark, tmp_path):
     assert not feed.run_until(endless, 5) and not endless.isActive
 
 
+def test_index_errors_and_time_limits(spark, archive, monkeypatch):
+    monkeypatch.setattr(S, "candidates", lambda captures, *a, **b: captures.withColumn("urlkey", F.expr("if(timestamp > '', raise_error('damaged'), urlkey)")))
+    found = S.scan(*archive, "romashka.example")
+    assert found.index_failed and any("damaged" in e for e in found.errors)
+    assert control.within(spark, 30, lambda: spark.range(5).count()) == (5, False)
+    slow = lambda: spark.range(4).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L)")).collect()
+    began = time.monotonic()
+    assert control.within(spark, 1, slow) == (None, True) and time.monotonic() - began < 10
+    with pytest.raises(ZeroDivisionError):
+        control.within(spark, 5, lambda: 1 / 0)
+
+
+def test_progress():
+    out = io.StringIO()
+    p = control.Progress(verbose=True, out=out, stall=0.1)
+    assert p.contact("email", "a@b.example", "2005-01-01", "u") and not p.contact("email", "a@b.example")
+    p.step("pages", 3, 10)
+    end = p.watch(0.05)
+    time.sleep(0.5)
+    end()
+    assert out.getvalue().count("no progress") == 1 and "2005-01-01  u" in out.getvalue() and "3 of 10" in out.getvalue()
+    quiet = io.StringIO()
+    control.Progress(False, out=quiet).step("x", 1)
+    assert quiet.getvalue() == ""
+
+
 def test_command_line(spark, archive, tmp_path, capsys):
     archive[0].write.parquet(str(tmp_path / "c"))
     archive[1].write.parquet(str(tmp_path / "p"))
