@@ -13,6 +13,15 @@ ROWS_PER_PAGE, COUNTED_PAGES = 50_000, 2
 MODES = {"auto": (300.0, False), "default": (300.0, False), "deep": (900.0, False), "exhaustive": (0.0, True)}
 
 
+# Reasons that a report gives for its plan.
+FORCED = "--all forced: broad CDX scan (all HTML pages, no URL filter) up to {capacity:,} snapshots"
+NOTHING = "Internet Archive has no captures for this domain"
+FITS = "site fits timeout ({total} ≤ {capacity:,}) — broad CDX scan (all HTML pages, no URL filter)"
+FILTERED = "contact-URL filter on; will fetch top {capacity:,}{of} snapshots"
+BROADENED = "broadened: URL filter dropped after zero-result first pass"
+EXTENDED = "extended: timeout +{extra:.0f}s after zero-result pass"
+
+
 @dataclass(frozen=True)
 class Plan:
     timeout_seconds: float
@@ -64,17 +73,17 @@ def make(*, pages: int | None, exact, timeout: float, workers: int = 4, rate: fl
     plan = Plan(float(timeout), latency, parallel, fits, now() + timeout if timeout > 0 else math.inf, pages, estimated, precise, precise and estimated == 0, forced_all=force_all)
     total = None if estimated is None else f"{'' if precise else '~'}{estimated:,}"
     if force_all:
-        return replace(plan, rationale=f"--all forced: broad CDX scan (all HTML pages, no URL filter) up to {fits:,} snapshots")
+        return replace(plan, rationale=FORCED.format(capacity=fits))
     if estimated is not None and estimated <= fits:
-        why = "Internet Archive has no captures for this domain" if plan.no_captures else f"site fits timeout ({total} ≤ {fits:,}) — broad CDX scan (all HTML pages, no URL filter)"
+        why = NOTHING if plan.no_captures else FITS.format(total=total, capacity=fits)
         return replace(plan, rationale=why)
     of = f" of {total}" if estimated else ""
-    return replace(plan, filtered=True, index_limit=index_limit(fits), rationale=f"contact-URL filter on; will fetch top {fits:,}{of} snapshots")
+    return replace(plan, filtered=True, index_limit=index_limit(fits), rationale=FILTERED.format(capacity=fits, of=of))
 
 
 def broaden(plan: Plan, deadline: float | None = None) -> Plan:
     """The plan without its URL filter, the index still bounded."""
-    return replace(plan, deadline=plan.deadline if deadline is None else deadline, filtered=False, index_limit=index_limit(plan.capacity), rationale="broadened: URL filter dropped after zero-result first pass")
+    return replace(plan, deadline=plan.deadline if deadline is None else deadline, filtered=False, index_limit=index_limit(plan.capacity), rationale=BROADENED)
 
 
 def extend(plan: Plan, extra: float, now=time.monotonic) -> Plan:
@@ -82,7 +91,7 @@ def extend(plan: Plan, extra: float, now=time.monotonic) -> Plan:
     if plan.unlimited or math.isinf(plan.deadline):
         return plan
     more = int(extra * plan.concurrency / max(plan.latency, 0.001))
-    return replace(plan, deadline=now() + extra, timeout_seconds=plan.timeout_seconds + extra, capacity=max(plan.capacity, more), rationale=f"extended: timeout +{extra:.0f}s after zero-result pass")
+    return replace(plan, deadline=now() + extra, timeout_seconds=plan.timeout_seconds + extra, capacity=max(plan.capacity, more), rationale=EXTENDED.format(extra=extra))
 
 
 def mode(name: str) -> tuple[float, bool]:

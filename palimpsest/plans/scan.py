@@ -125,16 +125,18 @@ def scan(captures: DataFrame, pages: DataFrame, domain: str, *, timeout: float |
         own.unpersist()
 
 
+# Hints at the end of a report.
+MORE_TIME = "Timeout exhausted after {s:.0f}s. Try `--timeout {twice}` or `--all` for deeper coverage."
+MORE_OF_URL = "Timeout exhausted after {s:.0f}s — try `--timeout {twice}` to fetch more snapshots of this URL."
+NO_FILTER = "Contact-URL filter was on. For obscure custom contact pages, try `--all` (scan every URL) or `--exhaustive`."
+
+
 def hint(s: Scan) -> str | None:
     """What to try next."""
-    limited, twice = s.plan.timeout_seconds > 0, int(s.plan.timeout_seconds * 2)
+    limited = s.plan.timeout_seconds > 0
     if s.timeout_exhausted and limited:
-        if s.single_url:
-            return f"Timeout exhausted after {s.elapsed_seconds:.0f}s — try `--timeout {twice}` to fetch more snapshots of this URL."
-        return f"Timeout exhausted after {s.elapsed_seconds:.0f}s. Try `--timeout {twice}` or `--all` for deeper coverage."
-    if s.plan.filtered and limited and not s.single_url:
-        return "Contact-URL filter was on. For obscure custom contact pages, try `--all` (scan every URL) or `--exhaustive`."
-    return None
+        return (MORE_OF_URL if s.single_url else MORE_TIME).format(s=s.elapsed_seconds, twice=int(s.plan.timeout_seconds * 2))
+    return NO_FILTER if s.plan.filtered and limited and not s.single_url else None
 
 
 def single_host(url: str) -> str | None:
