@@ -26,7 +26,7 @@ def text_of(column: str | Column = "text") -> Column:
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -14,6 +14,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,7 +41,7 @@ class LsmIndex:
         self.runs: list[str] = []
 
     def _write(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.path}/level{level}-run{len(self.runs)}"
+        path = f"{self.path}/level{level}-{uuid.uuid4().hex}"
         rows.sortWithinPartitions("digest", "doc_id").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
         return path
 
@@ -52,7 +53,7 @@ class LsmIndex:
         """Merge all runs into one, with a row per digest."""
         old = self.runs
         merged = self.read().groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
-        self.runs = [self._write(merged, 1 + len(old))]
+        self.runs = [self._write(merged, 1)]
         for path in old:
             common.drop_scratch(self.spark, path)
 

@@ -57,6 +57,10 @@ def test_index_takes_batches(spark, tmp_path):
     index.flush(spark.createDataFrame([(1, 3), (1, None)], "digest long, doc_id long"))
     index.compact()
     assert sorted(map(tuple, index.read().collect())) == [(1, 3, 3), (2, 6, 1)]
+    for n in (7, 1):
+        index.flush(spark.createDataFrame([(2, n)], "digest long, doc_id long"))
+        index.compact()
+    assert sorted(map(tuple, index.read().collect())) == [(1, 3, 3), (2, 1, 3)]
 
 
 def brute_fingerprint(text):
