@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordbpe
 
 SEED = 4
 COMMON = 4
@@ -181,6 +181,7 @@ def with_rare_seeds(items: Items, docs: DataFrame) -> Items:
         import pyarrow as pa
 
         total = np.zeros(len(items.kinds), np.int64)
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 total += items.holders(common.texts_of(part.column(0)))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordbpe
 
 WINDOW = 4096
 #: Ids after which a shard is closed: 512 windows.
@@ -67,6 +67,7 @@ def statistics(tokens: DataFrame, size: int, narrow: str) -> tuple[np.ndarray, i
         import pyarrow as pa
 
         df, n, total = np.zeros(size, np.int64), 0, 0
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 each = [np.frombuffer(x, narrow) for x in part.column(0).to_pylist()]
@@ -168,6 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
         from pyspark import TaskContext
 
         sequence_id = TaskContext.get().partitionId() << 40
+        wordbpe.release()
         ids, texts, held = [], [], 0
 
         def flush():

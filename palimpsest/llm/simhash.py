@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, wordbpe
 
 DISTANCE = 3
 SEGMENTS = 8
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 fp = np.array([fingerprint(t) for t in common.texts_of(part.column(1))], np.uint64).view(np.int64)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordbpe
 
 LIMIT = 18
 STEP = 64
@@ -111,6 +111,7 @@ def count_ids(tokens: DataFrame, size: int, narrow: str) -> np.ndarray:
         import pyarrow as pa
 
         total = np.zeros(size, np.int64)
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), narrow), minlength=size)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, wordbpe
 
 SAMPLE = 6000
 GRADES = 4
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         import pyarrow as pa
         import xxhash
 
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 texts = [t.decode() for t in common.texts_of(part.column(1))]
@@ -183,6 +184,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         cache: dict = {}
+        wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
                 above = [model.probabilities(model.counts(t.decode(), cache)[0]) for t in common.texts_of(part.column(1))]

@@ -179,3 +179,8 @@ def _byte_names() -> list[str]:
 @lru_cache(maxsize=2)
 def of(path: str) -> WordBpe:
     return WordBpe(path)
+
+
+def release() -> None:
+    """Give back what this worker keeps, before work of another kind begins in it: workers outlive their stages."""
+    of.cache_clear()
