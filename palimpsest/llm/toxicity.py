@@ -7,8 +7,10 @@ words and word beginnings of 4 to 7 letters. A document's result is its grade pr
 the expected severity, and whether it is toxic at all, at P(grade > 0) >= 0.5.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE per label, by hash of doc_id, one per group of
-texts that share a min-hash of 5-word shingles, so that copies don't count as evidence. A feature is selected if at least SUPPORT
-of the sample's toxic texts have it and it is LIFT times as frequent there as in clean ones. Scoring reads every document.
+texts that share a min-hash of 5-word shingles, so that copies don't count as evidence. A feature is selected if SUPPORT or more
+of the sample's toxic texts have it, relatively more than of the clean ones, and the log-likelihood ratio of the two shares is
+SIGNIFICANT. Both are absolute, so the words of a language with few toxic labels are selected as well; what each is worth is
+left to the regularised regression. Scoring reads every document.
 
 Nulls: a null text is empty and scores as clean, as does a text without features; a null doc_id is returned as null; labels
 with a null doc_id or a null label aren't used. Without labels of both kinds nothing is toxic and severity is 0.
@@ -22,7 +24,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +32,9 @@ from . import common, wordbpe
 
 SAMPLE = 6000
 GRADES = 4
-SUPPORT = 0.02
-LEAST_SUPPORT = 5
-LIFT = 8.0
+SUPPORT = 5
+#: Of chi-square with one degree of freedom: one chance in a thousand.
+SIGNIFICANT = 10.83
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 CACHE = 300_000
@@ -108,6 +110,13 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
+def log_likelihood(bad: int, good: int) -> Column:
+    """Of the shares of toxic and clean texts (bad and good in all) that have a feature, against one share for both."""
+    both = F.col("bad") + F.col("good")
+    cells = [(F.col("bad"), both * bad), (F.col("good"), both * good), (bad - F.col("bad"), (bad + good - both) * bad), (good - F.col("good"), (bad + good - both) * good)]
+    return 2 * sum((F.when(n > 0, n * F.log(n * (bad + good) / expected)).otherwise(0.0) for n, expected in cells), F.lit(0.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from the labelled documents among docs."""
 
@@ -147,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     if not bad or not good:
         return Model()
     counted = rows.mapInArrow(seen, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    least = max(LEAST_SUPPORT, SUPPORT * bad)
-    chosen = counted.where((F.col("feature") != "") & (F.col("bad") >= least) & ((F.col("bad") + 0.5) / bad >= LIFT * (F.col("good") + 0.5) / good))
+    more = F.col("bad") / bad > F.col("good") / good
+    chosen = counted.where((F.col("feature") != "") & (F.col("bad") >= SUPPORT) & more & (log_likelihood(bad, good) >= SIGNIFICANT))
     model = Model({f: i for i, f in enumerate(sorted(r[0] for r in chosen.select("feature").collect()))})
     if not model.index:
         return Model()

@@ -111,6 +111,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert held.loc[true, "expected_severity"].mean() > 1 > 0.2 > held.loc[~true, "expected_severity"].mean()
 
 
+def test_toxicity_finds_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    split = F.xxhash64("doc_id") % 2 == 0
+    held = toxicity.scores(docs, toxicity.fit(docs, labels.where(split))).join(labels.where(~split & (F.col("quality") == 1)).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    by = held.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg(F.when(F.col("label") == 1, F.col("toxic").cast("int"))).alias("recall"), F.avg(F.when(F.col("label") == 0, F.col("toxic").cast("int"))).alias("wrong"))
+    found = {r.lang: (r.recall, r.wrong) for r in by.collect()}
+    assert set(found) == {"en", "de", "fr", "es"} and all(recall >= 0.8 and wrong <= 0.03 for recall, wrong in found.values()), found
+
+
 def test_toxicity_edges(spark, sf, tricky, nothing):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     odd = labels.unionByName(spark.createDataFrame([(None, 1, 1), (0, 1, None)], labels.schema))
