@@ -1,14 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs without ASCII white space or punctuation. A test item's seeds are its n-grams of SEED words that aren't
-common: in at most COMMON times as many documents as the item's median n-gram, plus COMMON. The median follows the item, so
-an item that leaked into a third of all documents keeps its seeds, while phrases of everyday language lose them.
+Words are lower-cased runs without ASCII white space or punctuation. A test item's seeds are all its n-grams of SEED words, however
+many documents hold them: the ones that an edited copy keeps may be common, not least because many documents hold that copy.
 Around each seed that a document shares with an item the document's words are aligned with the item's (match 2, other word or gap
--1, local). The score is the alignment's share of a full match; at THRESHOLD or more the document holds the item. An item is
+-1, local), unless too few of the item's words stand there to reach THRESHOLD in any order. The score is the alignment's share of a full match; at THRESHOLD or more the document holds the item. An item is
 matched whole or in edited form, with words replaced, inserted, left out or moved a little.
 
 The benchmark is the query set: it is sent to all tasks in blocks of at most BLOCK_WORDS words, each a pass over the documents,
-so no more than a block is ever held. Counts are over all documents.
+so no more than a block is ever held.
 
 Nulls and edges: null texts are empty; an item of fewer than SEED words has no seeds and matches nothing; null ids are
 returned as null. Repeated documents or items give a row each. Empty tables give no rows, and leave all documents clean.
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from . import common, wordbpe
 
 SEED = 4
-COMMON = 4
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
@@ -54,21 +52,9 @@ class Items:
         self.item = np.concatenate(item) if item else np.zeros(0, np.int64)
         self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
         self.kinds, self.kind = np.unique(self.gram, return_inverse=True)
-        self._order(np.ones(len(self.gram), bool))
-
-    def _order(self, keep: np.ndarray) -> None:
-        rows = np.flatnonzero(keep)
-        self.row = rows[np.argsort(self.kind[rows], kind="stable")]
+        self.row = np.argsort(self.kind, kind="stable")
         self.start = np.searchsorted(self.kind[self.row], np.arange(len(self.kinds) + 1))
 
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """documents: how many documents hold each kind of n-gram."""
-        n, keep = documents[self.kind], np.zeros(len(self.gram), bool)
-        for i in range(len(self.texts)):
-            own = np.flatnonzero(self.item == i) if len(self.texts) < 64 else slice(*np.searchsorted(self.item, [i, i + 1]))
-            keep[own] = n[own] <= COMMON * np.median(n[own]) + COMMON if len(n[own]) else False
-        self._order(keep)
-
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word ids of all texts in turn (0: in no item), the first of each, and the positions and kinds of n-grams that items have."""
         get = self.vocabulary.get
@@ -89,12 +75,6 @@ class Items:
         hit = self.kinds[kind] == gram
         return ids, first, at[hit], kind[hit]
 
-    def holders(self, texts: list[bytes]) -> np.ndarray:
-        """In how many of the texts each kind of n-gram is."""
-        _, first, at, kind = self.read(texts)
-        pair = np.unique(np.searchsorted(first, at, side="right").astype(np.int64) * (len(self.kinds) + 1) + kind)
-        return np.bincount(pair % (len(self.kinds) + 1), minlength=len(self.kinds))
-
     def align(self, texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
         """text, item, score, first word, end word of the best alignment of each text with each item that reaches THRESHOLD."""
         ids, first, at, kind = self.read(texts)
@@ -115,6 +95,8 @@ class Items:
                 a, b = int(diagonal[low]) - m // 2, int(diagonal[k - 1]) + m + m // 2
                 windows.append((int(doc[low]), int(item[low]), max(int(first[doc[low]]), a), min(int(first[doc[low] + 1]) - 1, b)))
                 low = k
+        # A score of THRESHOLD needs that share of the item's words to be matched, so to be there.
+        windows = [w for w in windows if np.isin(self.texts[w[1]], ids[w[2] : w[3]]).sum() >= THRESHOLD * size[w[1]]]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         windows.sort(key=lambda w: (size[w[1]], w[3] - w[2]))
         for i in range(0, len(windows), 128):
@@ -176,36 +158,17 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Items]:
         yield Items(held)
 
 
-def with_rare_seeds(items: Items, docs: DataFrame) -> Items:
-    def count(batches):
-        import pyarrow as pa
-
-        total = np.zeros(len(items.kinds), np.int64)
-        wordbpe.release()
-        for batch in batches:
-            for part in common.slices(batch):
-                total += items.holders(common.texts_of(part.column(0)))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["kind", "n"])
-
-    rows = docs.select(common.text_of().alias("text")).mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(len(items.kinds), np.int64)
-    total[rows["kind"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    items.keep_rare(total)
-    return items
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of every document that holds a test item."""
     spark, found = docs.sparkSession, None
     docs = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"))
     kind = "doc_id long, item_id long, score double, start_word long, end_word long"
     for items in blocks(benchmark):
-        items = with_rare_seeds(items, docs)
 
         def run(batches, items=items):
             import pyarrow as pa
 
+            wordbpe.release()
             for batch in batches:
                 for part in common.slices(batch):
                     ids = part.column(0).to_pylist()
@@ -222,12 +185,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no test item, with all their columns."""
     for items in blocks(benchmark):
-        items = with_rare_seeds(items, docs)
         rows = docs.select(common.text_of().alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
         def run(batches, items=items):
             import pyarrow as pa
 
+            wordbpe.release()
             for batch in batches:
                 for part in common.slices(batch):
                     bad = {d for d, *_ in items.align(common.texts_of(part.column(0)))}

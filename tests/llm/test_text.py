@@ -54,6 +54,14 @@ def test_hot_items_keep_their_seeds(spark, tricky):
     assert {r.doc_id for r in found.collect()} == {i for i in range(90) if i % 3}
 
 
+def test_many_edited_copies_of_an_item_are_found(spark, tricky):
+    item = prose(71, 40)
+    edited = " ".join("xx" if i % 6 == 5 else w for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([full(i, f"{prose(800 + i, 30)} {edited} {prose(900 + i, 30)}") for i in range(30)], tricky.schema)
+    bench = spark.createDataFrame([(1, item, "")], BENCH)
+    assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == set(range(30)) and decontaminate.clean(docs, bench).count() == 0
+
+
 def test_decontamination_finds_the_tables_own(spark, sf):
     bench = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holders = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and any(b in " ".join(r.text.split()) for b in bench)}
