@@ -193,3 +193,14 @@ def test_a_passage_in_many_documents(spark, tricky):
     docs = [full(i, f"{prose(100 + i, 60)} {line} {shared if i % 2 else prose(300 + i, 70)} {prose(500 + i, 40)}") for i in range(60)]
     found = substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()
     assert {r.doc_id for r in found} == {i for i in range(60) if i % 2} - {1}
+
+
+def test_variants_of_one_passage_are_all_reached(spark, tricky):
+    docs = []
+    for n in range(40):  # the first and the third differ too much, the second is like both
+        words = prose(1000 + n, 60).split()
+        for k, at in enumerate(([20], [], [40])):
+            docs.append(full(3 * n + k, f"{prose(2000 + 3 * n + k, 60)} {' '.join('other' if i in at else w for i, w in enumerate(words))} {prose(4000 + 3 * n + k, 60)}"))
+    found = {(r.doc_id, r.source_doc_id) for r in substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()}
+    assert sum((3 * n + 2, 3 * n + 1) in found for n in range(40)) >= 34
+    assert not any((3 * n + 2, 3 * n) in found for n in range(40))
