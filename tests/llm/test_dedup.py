@@ -204,3 +204,23 @@ def test_variants_of_one_passage_are_all_reached(spark, tricky):
     found = {(r.doc_id, r.source_doc_id) for r in substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()}
     assert sum((3 * n + 2, 3 * n + 1) in found for n in range(40)) >= 34
     assert not any((3 * n + 2, 3 * n) in found for n in range(40))
+
+
+def compared(x, y):
+    hashes = substrings._Hashes()
+    return substrings.compare(*(substrings.shingles(t.encode(), hashes).astype(np.uint32) for t in (x, y)))
+
+
+def test_a_passage_beside_a_weaker_one_is_found():
+    words = prose(90, 120).split()
+    edited = " ".join("other" if i == 30 or i >= 60 and i % 9 == 5 else w for i, w in enumerate(words))
+    for one, two in ((" ".join(words), edited), (" ".join(words[::-1]), " ".join(edited.split()[::-1]))):
+        found = compared(one, two)
+        assert any(e - s + substrings.SHINGLE >= 58 and same >= 0.8 for s, e, *_, same in found), found
+
+
+def test_an_earlier_phrase_does_not_widen_a_passage():
+    words = prose(91, 70).split()
+    phrase, passage = " ".join(words[40:46]), " ".join("other" if i == 20 else w for i, w in enumerate(words))
+    found = compared(f"{phrase} {prose(92, 20)} {' '.join(words)}", f"{prose(93, 26)} {passage}")
+    assert any(e - s + substrings.SHINGLE >= 68 and same >= 0.8 for s, e, *_, same in found), found
