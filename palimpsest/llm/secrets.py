@@ -4,7 +4,9 @@ A candidate is a run of token characters, of CANDIDATE or more, within CONTEXT c
 compressor's dictionary is a list of common identifiers and the text around the candidate. What the
 candidate adds, in bytes, over compressing nothing is its marginal size: names, words and repeats of what stands nearby
 cost little, random keys almost their whole entropy. Candidates of at least NOVELTY marginal bytes per character, and
-that hold a digit and a letter, are reported as kind `novel`, unless they overlap a base span. Base spans stay as they are.
+that hold a digit and a letter, are reported as kind `novel`, unless they overlap a base span. NOVELTY is meant for 64 different
+characters; of a smaller alphabet, such as upper-case hexadecimal, its share of NOVELTY and TABLE bytes are enough, which is less
+for long candidates. Base spans stay as they are.
 
 Nulls: a null text is empty; a null doc_id is returned as null. Rows that repeat are reported each. Other columns aren't read.
 """
@@ -12,6 +14,7 @@ Nulls: a null text is empty; a null doc_id is returned as null. Rows that repeat
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,8 @@ CANDIDATE = 16
 CONTEXT = 64
 AROUND = 2048
 NOVELTY = 0.7
+#: Bytes that the compressor spends on describing a small alphabet, at the least.
+TABLE = 8
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret auth authorization bearer session signature credential "
     "username user email login account config settings environment variable public static final class function return import export const "
@@ -62,6 +67,15 @@ def marginal_bytes(text: str, start: int, end: int) -> int:
     return len(squeeze.compress(own.encode())) - len(squeeze.compress(b""))
 
 
+def least_bytes(own: str) -> float:
+    """Marginal bytes from which a candidate is novel, by the size of its alphabet."""
+    size = sum(len(kind) for kind in ("0123456789", "+", "/", "_", "=", "-") if not set(kind).isdisjoint(own))
+    for six, all_of_them in (("ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("abcdef", "abcdefghijklmnopqrstuvwxyz")):
+        used = set(own) & set(all_of_them)
+        size += (6 if used <= set(six) else 26) if used else 0
+    return min(NOVELTY * len(own), NOVELTY * len(own) * math.log2(size) / 6 + TABLE)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     found, last = [], -1
     for word in SENSITIVE.finditer(text):
@@ -77,7 +91,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             if any(s < b and a < e for a, b, _ in base):
                 continue
             last = s
-            if marginal_bytes(text, s, e) >= NOVELTY * (e - s):
+            if marginal_bytes(text, s, e) >= least_bytes(text[s:e]):
                 found.append((s, e, "novel"))
     return found
 

@@ -178,6 +178,20 @@ def test_novelty(text, novel):
     assert got == novel
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefABCDEF"])
+def test_long_keys_of_small_alphabets_are_novel(alphabet):
+    for n in (32, 64, 96, 128, 256, 600):
+        for seed in range(5):
+            r = random.Random(1000 * n + seed)
+            key = "A7" + "".join(r.choice(alphabet) for _ in range(n - 4)) + "2A"
+            text = f"the private credential is {key} as agreed"
+            if secrets.HEX.search(key):
+                continue
+            assert [text[s:e] for s, e, kind in secrets.spans(text) if kind == "novel"] == [key], (n, seed)
+    for dull in ("A1" * 64, "ABCDEF0123456789" * 8, "0" * 100 + "ABCDEF1234" * 3):
+        assert not [s for s in secrets.spans(f"the private credential is {dull} as agreed") if s[2] == "novel"], dull
+
+
 def shard_rows(docs):
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("place"))
