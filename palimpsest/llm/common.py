@@ -64,7 +64,7 @@ def vocabulary_size(path: str) -> int:
 
 def narrow(path: str) -> str:
     """The smallest type that holds every id."""
-    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
+    return wordbpe.of(path).kind.str
 
 
 def default_tokenizer() -> str:
@@ -73,10 +73,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(texts: list[bytes], tokenizer: str) -> list[bytes]:
-    """Ids of whole texts, each with the end id, as little-endian unsigned 32-bit bytes."""
-    end = END_ID.to_bytes(4, "little")
-    return [ids + end for ids in wordbpe.of(tokenizer).encode(texts)]
+def encode(texts, tokenizer: str):
+    """Ids of whole texts (an Arrow string column; null counts as empty), each with the end id, and where each text's begin and the last's end."""
+    import pyarrow as pa
+
+    return wordbpe.of(tokenizer).encode(texts.cast(pa.string()).fill_null(""), END_ID)
+
+
+def binary_rows(flat, at):
+    """An Arrow binary column of the runs of an array."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def runs_of(column, kind: str):
+    """The reverse: the array whose runs an Arrow binary column holds, and where each begins and the last ends. Not copied."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
+    data, size = column.buffers()[2], np.dtype(kind).itemsize
+    flat = np.frombuffer(data, kind, int(at[-1] - at[0]) // size, int(at[0])) if data is not None else np.zeros(0, kind)
+    return flat, (at - at[0]) // size
 
 
 def texts_of(column) -> list[bytes]:
@@ -90,3 +111,17 @@ def slices(batch, rows: int = 256):
     """An Arrow batch in pieces of so many rows, so that Python objects of few texts exist at once."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def slices_of_bytes(batch, column: int, most: int = 8 << 20):
+    """An Arrow batch in pieces whose texts in one column have so many bytes together, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    end = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = int(end[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(end, before + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high

@@ -2,10 +2,10 @@
 
 Documents become token ids with an end id. Every full window inside a long document is a sequence of its own;
 what remains of each document is packed. Remainders are dealt to shards of bounded size along a min-hash of
-their ids, so that texts with common words meet; equal hashes are dealt on by doc_id, so a hot group of copies
+their ids, so that texts with common words meet; equal hashes are dealt on by doc_id and place in the input, so a hot group of copies
 fills many shards. Each shard holds a BM25 inverted index over its remainders, with document frequencies and
-mean length of the whole corpus. The longest unused remainder seeds a window and queries the index; unused
-neighbours fill the window in order of score, then, if no scored one is left, unused ones in order of length.
+mean length of the whole corpus. The longest unused remainder seeds a window and queries the index with its `query_terms` heaviest
+terms (by their own BM25 weight in it; None: with all); unused neighbours fill the window in order of score, then, if no scored one is left, unused ones in order of length.
 The one that overruns is cut and its rest stays unused. Only the last window of a shard can be short.
 
 Nulls: a null text is empty, its end id alone; a null doc_id is packed like any other and returned as null.
@@ -25,26 +25,30 @@ from . import common, wordbpe
 WINDOW = 4096
 #: Ids after which a shard is closed: 512 windows.
 SHARD_TOKENS = 1 << 21
+#: Terms of a seed that query the index, unless the caller asks for more.
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, route (min-hash of the ids), n_tokens, ids (little-endian, 16 bits each where the vocabulary allows)."""
-    narrow = common.narrow(tokenizer)
+    """doc_id, place, route (min-hash of the ids), n_tokens, ids (little-endian, 16 bits each where the vocabulary allows)."""
+    hashes = (_hashed(np.arange(common.vocabulary_size(tokenizer))) >> np.uint64(1)).view(np.int64)
 
     def encode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in common.slices(batch):
-                ids = [np.frombuffer(x, "<u4") for x in common.encode(common.texts_of(part.column(1)), tokenizer)]
+            for part in common.slices_of_bytes(batch, 1):
+                ids, at = common.encode(part.column(1), tokenizer)
                 # The end id is in every text, so it doesn't route, unless it is alone.
-                route = [int(_hashed(x[:-1] if len(x) > 1 else x).min()) >> 1 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(route, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())], ["doc_id", "route", "n_tokens", "ids"])
+                h, n = hashes[ids], np.diff(at)
+                h[at[1:][n > 1] - 1] = np.iinfo(np.int64).max
+                route = np.minimum.reduceat(h, at[:-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(route), pa.array(n), common.binary_rows(ids, at)], ["doc_id", "place", "route", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text")).mapInArrow(encode, "doc_id long, route long, n_tokens long, ids binary")
+    docs = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"), F.monotonically_increasing_id().alias("place"))
+    return docs.mapInArrow(encode, "doc_id long, place long, route long, n_tokens long, ids binary")
 
 
 def _hashed(ids: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def statistics(tokens: DataFrame, size: int, narrow: str) -> tuple[np.ndarray, i
 class Index:
     """BM25 postings of a shard's documents, by term."""
 
-    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = QUERY_TERMS):
         found = [terms(t) for t in texts]
         n = np.array([len(t) for t, _ in found])
         term = np.concatenate([t for t, _ in found])
@@ -100,18 +104,18 @@ class Index:
         at = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[at], weight[at].astype(np.float64)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
-        self.n = len(texts)
+        self.n, self.query_terms = len(texts), query_terms
 
     def scores(self, i: int) -> np.ndarray:
         a, b = self.bounds[i], self.bounds[i + 1]
         own, weight = self.own[a:b], self.own_weight[a:b]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        if self.query_terms is not None and len(own) > self.query_terms:
+            own = own[np.argpartition(-weight, self.query_terms)[: self.query_terms]]
         rows = [slice(self.start[t], self.start[t + 1]) for t in own]
         return np.bincount(np.concatenate([self.doc[r] for r in rows]), np.concatenate([self.weight[r] for r in rows]), minlength=self.n)
 
 
-def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, query_terms: int | None = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
     """Sequences of (text, start, length); together they hold each id once."""
     sequences, start = [], [0] * len(texts)
     for i, t in enumerate(texts):
@@ -121,7 +125,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     rest = [i for i, t in enumerate(texts) if len(t) > start[i]]
     if not rest:
         return sequences
-    index = Index([texts[i][start[i] :] for i in rest], idf, mean)
+    index = Index([texts[i][start[i] :] for i in rest], idf, mean, query_terms)
     left = np.array([len(texts[i]) - start[i] for i in rest])
     order = np.argsort(-left, kind="stable")
 
@@ -156,7 +160,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     return sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = QUERY_TERMS) -> DataFrame:
     """One row per piece of a document; see PIECES. sequence_id is unique, not dense."""
     spark, size, narrow = docs.sparkSession, common.vocabulary_size(tokenizer), common.narrow(tokenizer)
     tokens = common.materialise(tokenised(docs, tokenizer), "tokens")
@@ -175,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
         def flush():
             nonlocal sequence_id, ids, texts, held
             rows = []
-            for sequence in pack_shard(texts, idf, mean, window):
+            for sequence in pack_shard(texts, idf, mean, window, query_terms):
                 offset = 0
                 for i, start, length in sequence:
                     piece = texts[i][start : start + length].astype("<u4").tobytes()
@@ -197,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
             yield flush()
 
     parts = min(common.partitions(spark), 1 + total // shard_tokens)  # no more than there are shards to fill
-    dealt = tokens.repartitionByRange(parts, "route", F.xxhash64("doc_id"), "doc_id").sortWithinPartitions("route", F.xxhash64("doc_id"), "doc_id", "ids")
+    order = ["route", F.xxhash64("doc_id"), "place"]
+    dealt = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(run, PIECES)
 
 

@@ -8,7 +8,8 @@ File format, a folder of two tables that any Spark reader can open:
               ``checkpoints`` the bit offset of every STEP-th id as little-endian unsigned 64-bit integers.
 
 Blocks decode alone: a lost task rewrites only its own, and a reader may start at any checkpoint.
-Ids are kept in ascending doc_id order, null ids first; rows that share an id are ordered by their ids' bytes.
+Ids are kept in ascending doc_id order, null ids first; rows that share an id are ordered by the first HEAD bytes of their ids, a hash of
+all of them and their place in the input, so that an id which a third of all rows share is cut over many parts like any other range.
 A null text counts as empty and is its end id alone. An empty table gives an empty file. Columns other than
 doc_id and text aren't read.
 """
@@ -24,6 +25,7 @@ from . import common, wordbpe
 LIMIT = 18
 STEP = 64
 BLOCK_TOKENS = 1 << 18
+HEAD = 64
 BLOCKS = "part int, block int, inside long, n_docs int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, bits binary"
 
 
@@ -114,7 +116,7 @@ def count_ids(tokens: DataFrame, size: int, narrow: str) -> np.ndarray:
         wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
-                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), narrow), minlength=size)
+                total += np.bincount(common.runs_of(part.column(0), narrow)[0], minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
@@ -127,60 +129,55 @@ def count_ids(tokens: DataFrame, size: int, narrow: str) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, limit: int = LIMIT, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode the texts of docs (doc_id, text) into a new file at `path`."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"))
     size, narrow, n = common.vocabulary_size(tokenizer), common.narrow(tokenizer), common.partitions(spark)
-    cuts = np.unique(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))) if n > 1 else np.zeros(0)
+    docs = docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text"), F.monotonically_increasing_id().alias("place"))
 
     def encode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in common.slices(batch):
-                ids = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in common.encode(common.texts_of(part.column(1)), tokenizer)]
-                key = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                at = np.searchsorted(cuts, key, side="left") if len(cuts) else np.zeros(len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+            for part in common.slices_of_bytes(batch, 1):
+                ids, at = common.encode(part.column(1), tokenizer)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), common.binary_rows(ids, at)], ["doc_id", "place", "ids"])
 
     # The texts are tokenised once; their ids are read for the counts and again for the code.
-    tokens = common.materialise(docs.mapInArrow(encode, "part int, doc_id long, ids binary"), "tokens")
+    tokens = common.materialise(docs.mapInArrow(encode, "doc_id long, place long, ids binary"), "tokens")
     lengths = code_lengths(count_ids(tokens, size, narrow), limit)
     codes = canonical_codes(lengths)
 
     def blocks(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        state = {"part": None, "block": 0, "inside": 0}
+        part, block, inside = TaskContext.get().partitionId(), 0, 0
+        wide = np.dtype(narrow).itemsize
 
-        def flush(docs_, ids, part):
-            if not docs_:
-                return None
-            if part != state["part"]:
-                state.update(part=part, block=0, inside=0)
-            whole = np.frombuffer(b"".join(ids), narrow).astype(np.int64)
+        def flush():
+            nonlocal block, inside
+            whole = np.frombuffer(b"".join(held), narrow)
             bits, marks = pack(whole, codes, lengths)
-            sizes = [len(x) // np.dtype(narrow).itemsize for x in ids]
-            row = [part, state["block"], state["inside"], len(ids), len(whole), docs_, sizes, marks, bits]
-            state["block"] += 1
-            state["inside"] += len(whole)
+            row = [part, block, inside, len(held), len(whole), names, [len(x) // wide for x in held], marks, bits]
+            block, inside = block + 1, inside + len(whole)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "inside", "n_docs", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"])
 
-        names, held, size, now = [], [], 0, None
+        names, held, size = [], [], 0
         for batch in batches:
-            for piece in common.slices(batch, 256):
-                for part, doc, ids in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                    if part != now or size >= block_tokens * np.dtype(narrow).itemsize:
-                        if (out := flush(names, held, now)) is not None:
-                            yield out
-                        names, held, size, now = [], [], 0, part
+            for piece in common.slices(batch):
+                for doc, ids in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if size >= block_tokens * wide:
+                        yield flush()
+                        names, held, size = [], [], 0
                     names.append(doc)
                     held.append(ids)
                     size += len(ids)
-        if (out := flush(names, held, now)) is not None:
-            yield out
+        if held:
+            yield flush()
 
     spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    tokens.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("ids", 1, HEAD), F.xxhash64("ids"), F.col("place")]
+    dealt = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:

@@ -1,8 +1,11 @@
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palimpsest.llm import common, packing, tokenfile, wordbpe
@@ -18,16 +21,43 @@ def ids_of(text):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_words_encode_as_the_library_does(texts):
-    ours = wordbpe.of(PATH).encode([t.encode("utf-8", "ignore") for t in texts])
-    for t, x in zip(texts, ours, strict=True):
-        assert np.frombuffer(x, "<u4").tolist() == LIBRARY.encode(t.encode("utf-8", "ignore").decode(), add_special_tokens=False).ids
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, at = wordbpe.of(PATH).encode(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
 def test_encodes_whole_documents(spark, sf):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     odd = ["naïve’s l'été don't I'LL 12ab34!'s <|endoftext|>x", "ß İ ΣΑΣ ﬁ ½ ² ª \x1c \x85", "é 日本 ３ 😀", "A" * 3000, "x." * 500]
-    for t, x in zip(texts + odd, common.encode([t.encode() for t in texts + odd], PATH), strict=True):
-        assert np.frombuffer(x, "<u4").tolist() == ids_of(t)
+    odd += ["Kelvin \u212a. \u212a", "ÀÉÎ.,. ÷ × a÷b", ".,", "a.b,c", "<|startoftext|>", "<|ENDOFTEXT|> <|endoftext|>", "a" * 41, "É" * 21 + ".", "\u00a0a\u2028b", "x'S 'll' ''d", "a\x00b \ufeffc", None]
+    ids, at = common.encode(pa.array(texts + odd), PATH)
+    for t, a, b in zip(texts + odd, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == ids_of(t), t
+
+
+def test_time_is_linear_in_a_word():
+    for word in ("a", "é1", "日本", "%$", "x."):
+        began = time.process_time()
+        ids, _ = common.encode(pa.array([word * (1_000_000 // len(word))]), PATH)
+        assert len(ids) > 1 and time.process_time() - began < 10, word
+
+
+def test_other_vocabularies_are_left_to_the_library(sf):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, texts = Tokenizer.from_file(path), ["Two  spaces, é", "", "a b\n c"]
+    ids, at = wordbpe.of(path).encode(pa.array(texts), 7)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*other.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_texts_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (3, 9, 1, 1, 1)] + [None])], ["t"])
+    assert [x.num_rows for x in common.slices_of_bytes(batch, 0, 4)] == [1, 1, 4]
+    column = common.binary_rows(np.arange(6, dtype="<u2"), np.array([0, 2, 2, 6]))
+    flat, at = common.runs_of(column.slice(1), "<u2")
+    assert flat.tolist() == [2, 3, 4, 5] and at.tolist() == [0, 0, 4]
 
 
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=200), st.integers(8, 18))
@@ -61,6 +91,15 @@ def test_file_round_trip(spark, tricky, nothing, tmp_path):
     assert tokenfile.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_one_id_is_cut_over_many_parts(spark, tmp_path):
+    hot = spark.createDataFrame([(5 if i % 3 else i, f"text {i % 7}") for i in range(3000)], "doc_id long, text string")
+    tokenfile.write(hot, str(tmp_path / "f"), PATH)
+    parts = spark.read.parquet(str(tmp_path / "f/blocks")).groupBy("part").agg(F.sum("n_docs")).collect()
+    assert len(parts) > 3 and max(n for _, n in parts) < 2000
+    got = tokenfile.read(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in hot.collect()) and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
 def check_packing(docs, rows, window):
     ids = {}
     for r in docs.select("doc_id", "text").collect():
