@@ -1,12 +1,14 @@
 """Secrets: three base patterns, and strings in sensitive context that are novel to a primed zstandard compressor.
 
-A candidate is a run of token characters, of CANDIDATE or more, within CONTEXT characters after a sensitive word. The
-compressor's dictionary is a list of common identifiers and the text around the candidate. What the
+A candidate is a whole run of token characters, of CANDIDATE or more, with a sensitive word within CONTEXT characters before or after
+it, that holds a digit and a letter, or letters alone with two capitals in a row and a change of case at every fourth or sooner, on average (so
+that names in camel case aren't candidates). The compressor's dictionary is a list of common identifiers and the text around the candidate. What the
 candidate adds, in bytes, over compressing nothing is its marginal size: names, words and repeats of what stands nearby
-cost little, random keys almost their whole entropy. Candidates of at least NOVELTY marginal bytes per character, and
-that hold a digit and a letter, are reported as kind `novel`, unless they overlap a base span. NOVELTY is meant for 64 different
+cost little, random keys almost their whole entropy. Candidates of at least NOVELTY marginal bytes per character
+are reported as kind `novel`, unless they overlap a base span. NOVELTY is meant for 64 different
 characters; of a smaller alphabet, such as upper-case hexadecimal, its share of NOVELTY and TABLE bytes are enough, which is less
-for long candidates. Base spans stay as they are.
+for long candidates. Base spans stay as they are. Not reported as novel: keys of digits alone, and of letters of one case alone, which
+a compressor can't tell from words that it doesn't know. Every run and every sensitive word is looked at once, so a text takes time in proportion.
 
 Nulls: a null text is empty; a null doc_id is returned as null. Rows that repeat are reported each. Other columns aren't read.
 """
@@ -16,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|credential|private|api_?key|access_?key|auth|bearer|signature", re.I | re.A)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT_AND_LETTER = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+DIGIT, LETTER, CAPITALS = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[A-Z]{2}")
+CASE_CHANGE = re.compile("[a-z](?=[A-Z])|[A-Z](?=[a-z])")
 CANDIDATE = 16
 CONTEXT = 64
 AROUND = 2048
@@ -76,23 +81,30 @@ def least_bytes(own: str) -> float:
     return min(NOVELTY * len(own), NOVELTY * len(own) * math.log2(size) / 6 + TABLE)
 
 
+def is_key_like(own: str) -> bool:
+    """Whether a run mixes digits and letters, or the two cases of letters, as keys do and words don't."""
+    if not LETTER.search(own):
+        return False
+    return DIGIT.search(own) is not None or CAPITALS.search(own) is not None and 4 * sum(1 for _ in CASE_CHANGE.finditer(own)) >= len(own) - 1
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    found, last = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, word.end(), min(len(text), word.end() + CONTEXT + 512)):
-            s, e = m.span()
-            if s > word.end() + CONTEXT:
-                break
-            # Whole runs only: the search window may begin or end inside one.
-            while e < len(text) and TOKEN.match(text[e] * CANDIDATE):
-                e += 1
-            if s <= last or e - s < CANDIDATE or (s and TOKEN.match(text[s - 1] * CANDIDATE)) or not DIGIT_AND_LETTER.search(text[s:e]):
-                continue
-            if any(s < b and a < e for a, b, _ in base):
-                continue
-            last = s
-            if marginal_bytes(text, s, e) >= least_bytes(text[s:e]):
-                found.append((s, e, "novel"))
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    begins, ends = zip(*words, strict=True)
+    first, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    found = []
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        before, after = bisect_right(ends, s), bisect_left(begins, e)
+        if not (before and s - ends[before - 1] <= CONTEXT or after < len(begins) and begins[after] - e <= CONTEXT) or not is_key_like(m[0]):
+            continue
+        under = bisect_left(first, e)
+        if under and reach[under - 1] > s:
+            continue
+        if marginal_bytes(text, s, e) >= least_bytes(m[0]):
+            found.append((s, e, "novel"))
     return found
 
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -170,6 +171,10 @@ def test_secrets(spark, sf, tricky, nothing):
         ("authorization bearer abcdefghijklmnopqrstuvwxyz0123456789", []),
         ("Zk3vQ9xLm2Rt7Bw5Yp8Nc4Hd6Xx credential Zk3vQ9xLm2Rt7Bw5Yp8Nc4Hd6", []),
         ("the colour is Zk3vQ9xLm2Rt7Bw5Yp8Nc4Hd6", []),
+        ("Zk3vQ9xLm2Rt7Bw5Yp8Nc4Hd6 is the credential", ["Zk3vQ9xLm2Rt7Bw5Yp8Nc4Hd6"]),
+        ("passphrase is ZkQvxLmRTBwYpNcHdJsGfTz", ["ZkQvxLmRTBwYpNcHdJsGfTz"]),
+        ("the private getPrivateKeyFromStoreFactory is a name", []),
+        ("secret antidisestablishmentarianism", []),
         ("secret aaaaaaaaaaaaaaaaaaaa1111111111", []),
     ],
 )
@@ -178,6 +183,39 @@ def test_novelty(text, novel):
     assert got == novel
 
 
+def test_recall_of_random_keys():
+    r = random.Random(5)
+    kinds = {
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+        "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    }
+    for kind, alphabet in kinds.items():
+        caught = total = 0
+        for n in (20, 24, 32, 40, 64):
+            for i in range(40):
+                key = "".join(r.choice(alphabet) for _ in range(n))
+                text = f"{prose(i, 30)} the {r.choice(['credential', 'private', 'bearer'])} {key} as {prose(i + 1, 30)}" if i % 2 else f"{prose(i, 30)} {key} is the {r.choice(['passphrase', 'signature'])} {prose(i, 20)}"
+                caught += key in [text[s:e] for s, e, k in secrets.spans(text) if k == "novel"]
+                total += 1
+        assert caught >= 0.97 * total, (kind, caught, total)
+
+
+def test_ordinary_text_is_not_novel(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
+    words = " ".join(texts).split()
+    r = random.Random(6)
+    prose_ = [" ".join(r.choice(("secret", "token", "author", "private")) if r.random() < 0.2 else r.choice(words) for _ in range(200)) for _ in range(50)]
+    prose_ = [re.sub(r"\S*[0-9]\S*", "x", t) for t in prose_]
+    assert not [t[s:e] for t in prose_ for s, e, k in secrets.spans(t) if k == "novel"]
+
+
+@pytest.mark.parametrize("text", ["secret" * 170_000, "secret " * 150_000, "secret: " * 130_000, "Ab1" * 350_000 + " secret", "AKIA" * 250_000, "secret " + "a1" * 500_000, "password" + " " * 10**6])
+def test_secrets_take_linear_time(text):
+    began = time.process_time()
+    secrets.spans(text)
+    assert time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefABCDEF"])
 def test_long_keys_of_small_alphabets_are_novel(alphabet):
     for n in (32, 64, 96, 128, 256, 600):
