@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -206,9 +207,80 @@ def test_variants_of_one_passage_are_all_reached(spark, tricky):
     assert not any((3 * n + 2, 3 * n) in found for n in range(40))
 
 
+def test_a_quoting_document_hides_no_copies(spark, tricky):
+    docs = []
+    for n in range(60):  # the first holds the passage in pieces of 48 words, the other two hold it whole
+        words = prose(7000 + n, 120).split()
+        quoted = " ".join(f"{prose(8000 + 10 * n + i, 25)} {' '.join(words[i * 48 : i * 48 + 48])}" for i in range(3))
+        docs += [full(3 * n, quoted)] + [full(3 * n + k, f"{prose(9000 + 3 * n + k, 70)} {' '.join(words)} {prose(9500 + 3 * n + k, 70)}") for k in (1, 2)]
+    found = substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()
+    whole = {r.doc_id for r in found if r.source_doc_id == r.doc_id - 1 and r.doc_id % 3 == 2 and r.start_word <= 70 and r.end_word >= 190}
+    assert len(whole) >= 57 and {r.doc_id for r in found if r.doc_id % 3 == 2} == {3 * n + 2 for n in range(60)}
+
+
+def repeated_runs(texts, n=substrings.WORDS):
+    """doc_id -> word positions inside a run of n words that an earlier document holds."""
+    seen, repeated = {}, {}
+    for doc, text in texts:
+        words = text.lower().split()
+        for i in range(len(words) - n + 1):
+            run = hashlib.md5(" ".join(words[i : i + n]).encode()).digest()
+            if seen.setdefault(run, doc) != doc:
+                repeated.setdefault(doc, set()).update(range(i, i + n))
+    return repeated
+
+
+def test_every_repeated_run_of_the_tables_is_covered(spark):
+    d = "/root/testdata/sf0.01"
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
+    covered = {}
+    for r in substrings.op6_compact_window_passages(spark, d).collect():
+        assert r.source_doc_id < r.doc_id and r.similarity >= 0.8 and r.end_word - r.start_word >= 50
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert not {doc: len(places - covered.get(doc, set())) for doc, places in repeated_runs(texts).items() if places - covered.get(doc, set())}
+
+
+def test_recall_of_edited_passages(spark, tricky):
+    r, docs, edits = random.Random(8), [], (0, 1, 1, 2)
+    for n in range(200):  # a word changed for every 50 at most
+        words = prose(20000 + n, 50 * max(1, edits[n % 4]) + 10).split()
+        other = [*words]
+        for k in range(edits[n % 4]):
+            other[50 * k + r.randrange(5, 50)] = "other"
+        docs += [full(2 * n + k, f"{prose(30000 + 2 * n + k, 80)} {' '.join(w)} {prose(40000 + 2 * n + k, 80)}") for k, w in enumerate((words, other))]
+    found = {(x.doc_id, x.source_doc_id) for x in substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()}
+    assert found <= {(2 * n + 1, 2 * n) for n in range(200)} and len(found) >= 190, len(found)
+
+
+def test_documents_without_ids_are_compared(spark, tricky):
+    shared = prose(60, 100)
+    docs = [full(None, f"{prose(61, 60)} {shared}"), full(None, f"{prose(62, 60)} {shared}"), full(3, f"{prose(63, 60)} {shared}"), full(4, f"{prose(64, 80)} {shared}"), full(4, f"{prose(65, 60)} {shared}")]
+    found = substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()
+    assert sorted((r.doc_id or 0, r.source_doc_id or 0) for r in found) == [(0, 3), (0, 3), (4, 3), (4, 3)]
+
+
+def test_windows_of_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(9)
+    h, first = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.array([0, 1200, 3000])
+    want = [x.tolist() for x in substrings.compact_windows(h, first, 1)]
+    monkeypatch.setattr(substrings, "PLACE", np.uint64((1 << 11) - 1))
+    assert [x.tolist() for x in substrings.compact_windows(h, first, 1)] == want
+
+
+def test_a_hot_key_is_linked_in_chunks():
+    rng = np.random.default_rng(10)
+    n, steps = 500, len(substrings.STEPS)
+    extent = np.full(n, 30 << 15 | 40, np.int32)
+    columns = [np.zeros(n, np.int64), np.arange(n), np.full(n, 30, np.int32), extent, rng.integers(0, 3, n, dtype=np.int32), rng.integers(0, 3, n) << 21, rng.integers(0, 3, (n, steps)).astype(np.uint32)]
+    once = sorted(zip(*substrings.Linker().link(columns, last=True), strict=True))
+    linker, apart = substrings.Linker(), []
+    for i in range(0, n, 60):
+        apart += zip(*linker.link([x[i : i + 60] for x in columns], last=i + 60 >= n), strict=True)
+    assert sorted(apart) == once and n < len(once) < 20 * n
+
+
 def compared(x, y):
-    hashes = substrings._Hashes()
-    return substrings.compare(*(substrings.shingles(t.encode(), hashes).astype(np.uint32) for t in (x, y)))
+    return substrings.compare(*(substrings.shingles(pa.array([t]))[0].astype(np.uint32) for t in (x, y)))
 
 
 def test_a_passage_beside_a_weaker_one_is_found():
