@@ -122,13 +122,6 @@ def email_syntax_filter(spark, d):
     return spark.createDataFrame(ADDRESSES, "address string").where(emails.plausible(F.col("address")))
 
 
-@query(f"SELECT doc_id, value FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{EMAIL_SQL}'))) AS value FROM documents) WHERE {PLAUSIBLE_SQL.format(v='value')} GROUP BY doc_id, value")
-def email_contacts(spark, d):
-    """Distinct plausible addresses by document, from both passes."""
-    found = table(spark, d, "documents").where(F.col("text").rlike(contacts.POSSIBLE)).select("doc_id", F.explode(emails.contacts("text")).alias("c"))
-    return found.where("c.pass = 1").select("doc_id", "c.value")
-
-
 SPELLED = [(i, t) for i, t in enumerate(["info [at] example [dot] com", "sales(at)example.com", "office собака example точка com", "Sobaka walks", "look at example.com now", "a { AT } b {DOT} org", "x [@] y [.] net", "dot dot dot", "mail sobaka example tochka test"])]
 AT_SQL, DOT_SQL = (p.replace("'", "''") for p in (emails.AT, emails.DOT))
 
@@ -138,6 +131,31 @@ def deobfuscate_at_dot(spark, d):
     return spark.createDataFrame(SPELLED, "id int, t string").select("id", emails.plain("t").alias("text"))
 
 
+#: Addresses of a text in the order of both passes, the spelled-out ones unless prose stands before 'at'; each value once.
+def emails_sql(rows: str, key: str, text: str) -> str:
+    listed = f"SELECT {key}, 0 AS pass, regexp_extract_all({text}, '{EMAIL_SQL}') AS l FROM {rows}"
+    listed += f" UNION ALL SELECT {key}, 1, regexp_extract_all(regexp_replace(regexp_replace({text}, '{AT_SQL}', '@', 'gi'), '{DOT_SQL}', '.', 'gi'), '{EMAIL_SQL}') FROM {rows}"
+    each = f"SELECT {key}, pass, i, l[i] AS raw, lower(l[i]) AS value FROM (SELECT {key}, pass, l, unnest(range(1, len(l) + 1)) AS i FROM ({listed}))"
+    good = f"{PLAUSIBLE_SQL.format(v='value')} AND (pass = 0 OR split_part(value, '@', 1) NOT IN ({quoted(V.PROSE_WORDS)}))"
+    return f"(SELECT {key}, value, arg_min(raw, pass * 1000000 + i) AS raw FROM ({each}) WHERE {good} GROUP BY {key}, value)"
+
+
+@query(f"SELECT doc_id, value FROM {emails_sql('documents', 'doc_id', 'text')}")
+def email_contacts(spark, d):
+    """Distinct plausible addresses by document, from both passes."""
+    found = table(spark, d, "documents").where(contacts.possible("text")).select("doc_id", F.explode(emails.contacts("text")).alias("c"))
+    return found.select("doc_id", "c.value")
+
+
+MIXED = [(i, t) for i, t in enumerate(["info [at] example [dot] com or info@example.com", "Found at example.com and Sales at example.org", "INFO@Example.com, info@example.com", "archived at www.example.net", "a(at)b.example c{AT}d.example", "none here", ""])]
+
+
+@query(f"SELECT id, value, raw FROM {emails_sql(values(MIXED, 'id, t'), 'id', 't')}")
+def email_passes(spark, d):
+    """Both passes over texts that spell addresses out."""
+    return spark.createDataFrame(MIXED, "id int, t string").select("id", F.explode(emails.contacts("t")).alias("c")).select("id", "c.value", "c.raw")
+
+
 PROSE = [(x,) for x in ("found@example.com", "info@example.com", "archived@example.org", "based.here@example.org", "published@example.net")]
 
 
@@ -169,14 +187,38 @@ def phone_plus_nanp(spark, d):
     return held.select("doc_id", F.concat(F.lit("+"), F.regexp_replace("raw", r"\D", "")).alias("value"), "raw")
 
 
-BOTH_SQL = f"""(SELECT doc_id, 'email' AS kind, lower(raw) AS value, raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS raw FROM documents)
-  UNION SELECT doc_id, 'phone', '+' || regexp_replace(raw, '[^0-9]', '', 'g'), raw FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE_SQL}')) AS raw FROM documents))"""
+RU, KZ, NANP = (phones.PLANS[r].valid for r in ("RU", "KZ", "US"))
+
 
+def phones_sql(rows: str, key: str, text: str) -> str:
+    """Numbers of a text that are written +1 (ddd) ddd-dddd, as ten or eleven digits, or as those with three dots; RU, KZ and US, in this order."""
+    each = f"SELECT {key}, i, l[i] AS raw FROM (SELECT {key}, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {key}, regexp_extract_all({text}, '{PHONE_SQL}|[A-Za-z]*[0-9]+(?:[ .-][0-9]+)*[A-Za-z]*') AS l FROM {rows}))"
+    shaped = f"SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS n FROM ({each}) WHERE regexp_full_match(raw, '{PHONE_SQL}|[0-9]{{10,11}}|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')"
+    value = f"""CASE WHEN raw[1] = '+' THEN '+' || n WHEN regexp_full_match(n, '{RU}') THEN '+7' || n WHEN regexp_full_match(n, '[78]{RU}') THEN '+7' || n[2:]
+      WHEN regexp_full_match(n, '{KZ}') THEN '+7' || n WHEN regexp_full_match(n, '[78]{KZ}') THEN '+7' || n[2:] WHEN regexp_full_match(n, '{NANP}') THEN '+1' || n WHEN regexp_full_match(n, '1{NANP}') THEN '+1' || n[2:] END"""
+    return f"(SELECT {key}, value, arg_min(raw, i) AS raw FROM (SELECT *, {value} AS value FROM ({shaped})) WHERE value IS NOT NULL GROUP BY {key}, value)"
 
-@query(f"SELECT kind, value, count(*) AS documents FROM (SELECT DISTINCT kind, value, doc_id FROM {BOTH_SQL}) GROUP BY kind, value")
+
+HUMAN_SQL = "CASE WHEN starts_with(value, '+1') THEN '+1 ' || value[3:5] || '-' || value[6:8] || '-' || value[9:] ELSE '+7 ' || value[3:5] || ' ' || value[6:8] || '-' || value[9:10] || '-' || value[11:] END"
+
+
+@query(f"SELECT doc_id, value, {HUMAN_SQL} AS value_human, raw FROM {phones_sql('documents', 'doc_id', 'text')}")
+def document_phones(spark, d):
+    """Every phone number of the documents, in E.164 and grouped for reading."""
+    docs = table(spark, d, "documents").select(F.lit("20100101120000").alias("timestamp"), F.col("doc_id").cast("string").alias("original"), F.col("text").alias("content"))
+    found = contacts.sightings(docs).where("kind = 'phone'")
+    return found.select(F.col("source_url").cast("long").alias("doc_id"), "value", contacts.human_phone("value").alias("value_human"), "raw")
+
+
+#: In documents all numbers are written alike, so no region is needed to read them.
+BOTH_SQL = f"""(SELECT doc_id, 'email' AS kind, value, raw FROM {emails_sql('documents', 'doc_id', 'text')}
+  UNION ALL SELECT doc_id, 'phone', value, raw FROM {phones_sql('documents', 'doc_id', 'text')} WHERE raw[1] = '+')"""
+
+
+@query(f"SELECT kind, value, count(*) AS documents FROM {BOTH_SQL} GROUP BY kind, value")
 def contacts_union(spark, d):
     docs = table(spark, d, "documents").select(F.lit("20100101000000").alias("timestamp"), F.col("doc_id").cast("string").alias("original"), F.col("text").alias("content"))
-    found = contacts.text_sightings(docs).select("kind", "value", "source_url").distinct()
+    found = contacts.sightings(docs, regions=()).select("kind", "value", "source_url").distinct()
     return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -272,9 +314,10 @@ def targets_merge(spark, d):
     return targets.merged(spark.createDataFrame(LINES, "pos int, line string")).select("domain", F.array_join("extra_paths", ",").alias("paths"))
 
 
+COLS = '"timestamp", original, mimetype, status, urlkey'
+
 # --- Captures ---------------------------------------------------------------------------------------------------------
 
-COLS = '"timestamp", original, mimetype, status, urlkey'
 
 
 @query(f"SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY urlkey, \"timestamp\"[1:4] ORDER BY \"timestamp\", original) AS n FROM {CAPTURES}) WHERE n = 1")
@@ -305,7 +348,17 @@ def match_domain(spark, d):
 
 @query(f"SELECT {COLS} FROM {PATHED} WHERE original = 'http://h7.example.com/o-nas'")
 def match_exact(spark, d):
-    return C.matching(pathed_captures(spark, d), "http://h7.example.com/o-nas", subdomains=False).drop("page_id")
+    """One URL, however its scheme, www, case or closing slash are written."""
+    return C.matching(pathed_captures(spark, d), "https://WWW.h7.example.com:443/o-nas/#top", subdomains=False).drop("page_id")
+
+
+ROOTS = [("20050101000000", u, "text/html", "200", k) for u, k in (("http://example.com/", "com,example)/"), ("https://www.example.com", ""), ("http://example.com/a", "com,example)/a"), ("http://shop.example.com/", "com,example,shop)/"), ("http://example.com:8080/", ""), ("http://EXAMPLE.com/?", ""))]
+
+
+@query(f"SELECT {COLS} FROM {values(ROOTS, COLS)} WHERE regexp_full_match(original, '(?i)https?://(www[.])?example[.]com/?[?]?')")
+def match_host_root(spark, d):
+    """A bare host without its subdomains is its root page."""
+    return C.matching(spark.createDataFrame(ROOTS, C.COLUMNS), "example.com", subdomains=False)
 
 
 @query(f"SELECT count(*) AS captures FROM {CAPTURES}")
@@ -340,7 +393,7 @@ def single_url_order(spark, d):
 
 PROBES_SQL = "(SELECT unnest([" + quoted(V.PROBE_STAMPS) + "]) AS probe)"
 NEAREST_SQL = f"""(SELECT url, probe, arg_min(c, {{'d': dist, 't': c."timestamp"}}) AS c FROM (SELECT p.url, probe, {{'timestamp': c."timestamp", 'original': c.original, 'mimetype': c.mimetype, 'status': c.status, 'urlkey': c.urlkey}} AS c,
-  abs(cast(c."timestamp" AS BIGINT) - cast(rpad(probe, 14, '0') AS BIGINT)) AS dist FROM pages p, {PROBES_SQL}, {CAPTURES} c WHERE c.original = p.url) GROUP BY url, probe)"""
+  abs(epoch(strptime(c."timestamp", '%Y%m%d%H%M%S')) - epoch(strptime(probe, '%Y%m%d'))) AS dist FROM pages p, {PROBES_SQL}, {CAPTURES} c WHERE c.original = p.url) GROUP BY url, probe)"""
 
 
 def page_probes(spark, d):
@@ -378,7 +431,7 @@ SIGHTED = f"""(SELECT DISTINCT kind, value, raw, '{V.ARCHIVE}' || {DOC_STAMP.for
 
 def made_sightings(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.expr(DOC_STAMP.format(s="string")).alias("timestamp"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("original"), F.col("text").alias("content"))
-    return contacts.text_sightings(docs)
+    return contacts.sightings(docs, regions=())
 
 
 @query(f"SELECT * FROM {SIGHTED}")
@@ -447,34 +500,101 @@ def index_answers(spark, d):
     return spark.createDataFrame([(ANSWER,), (GOOD,), ("",), ("[[]",)], "body string").select(F.explode(parsed("body")).alias("c")).select("c.*")
 
 
-# --- What SQL can't express -------------------------------------------------------------------------------------------
+# --- Pages ------------------------------------------------------------------------------------------------------------
+
+#: Shapes that are blanked, where they need no looking around; the others don't occur in the tables, and have their own examples in the tests.
+BLANKS_SQL = [p.pattern for p in markup.BLANKS if not any(x in p.pattern for x in ("(?<", "(?=", "\\1"))]
+
+
+def page_text_sql(html: str) -> str:
+    """The text of a page: dropped elements, comments and tags out, entities in, white space as one space, misleading shapes blanked."""
+    made = html
+    for tag in markup.DROPPED:
+        made = f"regexp_replace({made}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    made = f"regexp_replace(regexp_replace({made}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("＠", "@"), ("．", ".")):
+        made = f"replace({made}, '{name}', '{sign}')"
+    for shape in BLANKS_SQL:
+        made = f"regexp_replace({made}, '{shape.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    return f"trim(regexp_replace({made}, '\\s+', ' ', 'g'))"
 
 
-@query()
+TEXTS_SQL = f"(SELECT page_id, url, {page_text_sql('html')} AS text FROM pages)"
+
+
+@query(f"SELECT page_id, text FROM {TEXTS_SQL}")
 def html_normalize_exact(spark, d):
-    """Text of every page, as the matchers read it."""
-    return table(spark, d, "pages").select("page_id", contacts.normalised("html").alias("text"))
+    """Text of every page, as the matchers read it, with white space as one space."""
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(contacts.normalised("html"), r"\s+", " ")).alias("text"))
+
+
+MARKUP = [
+    (1, "a <b>b</b>c<br>d"), (2, "<p>x</p><script>var a='<p>';</script><style>p{}</style>y"), (3, "&lt;b&gt; &amp;amp; &#64; &eacute;"), (4, "<!-- no --><noscript>n</noscript><svg><text>t</text></svg>z"),
+    (5, "info＠example．com"), (6, 'w <a href="mailto:a@b.example?subject=x">mail</a> <a href="TEL:+1 212">t</a>'.replace("TEL", "tel")), (7, f'<span data-cfemail="{protect("q@r.example", 7)}">p</span>'),
+    (8, "on 12.05.2007 10:30 end"), (9, "(7) 2006 x"), (10, "2001 2001 y"), (11, "No 12345/2007 z"), (12, "2005 07 14 a"), (13, "at 55.75124, 37.61842 b"), (14, "ИНН 7707083893 c"), (15, "US0378331005 d"), (16, "10115 Berlin"), (17, "UA-1234567-1 e"),
+    (18, "12 10115 Berlin"), (19, "+49 30/1234567 f"), (20, "030/1234567 g"), (21, "unclosed <b>bold <i>x"), (22, ""), (23, "a\n\t b\u00a0c"),
+]
+#: What the text of each is, written down by hand; blanked shapes as one space.
+EXPECTED = [
+    (1, "a b c d"), (2, "x y"), (3, "<b> & @ é"), (4, "z"), (5, "info@example.com"), (6, "w mail t a@b.example +1 212"), (7, "p q@r.example"), (8, "on end"), (9, "x"), (10, "y"), (11, "No z"), (12, "a"), (13, "at , b"), (14, "c"),
+    (15, "d"), (16, "10115 Berlin"), (17, "e"), (18, "Berlin"), (19, "+49 30 1234567 f"), (20, "030 1234567 g"), (21, "unclosed bold x"), (22, ""), (23, "a b c"),
+]
+
+
+@query(f"SELECT id, text FROM {values(EXPECTED, 'id, text')}")
+def html_normalize_cases(spark, d):
+    """Each rule of the normaliser on markup of its own."""
+    return spark.createDataFrame(MARKUP, "id int, html string").select("id", F.trim(F.regexp_replace(contacts.normalised("html"), r"\s+", " ")).alias("text"))
+
 
+PHONED = [
+    (1, "+7 (495) 123-45-67", "US"), (2, "8 (495) 123-45-67", "RU"), (3, "call (212) 555-0199 now", "US"), (4, "tel 030 12345678", "DE"), (5, "order 123456789, stock 4567891, sku 998877 and 31337001", "IT"), (6, "order 123456789, sku 998877", "RU"),
+    (7, "01 42 68 53 00", "FR"), (8, "020 7946 0958", "GB"), (9, "30 12345678", "DE"), (10, "6123 4567", "SG"), (11, "22 123 45 67", "PL"), (12, "600 123 456", "ES"), (13, "06 12345678 and 0612345678", "IT"), (14, "12.05.2007", "RU"), (15, "011 7 495 1234567", "US"),
+    (16, "8 017 123-45-67", "BY"), (17, "044 123 45 67", "UA"), (18, "044 123 45 67", "CH"), (19, "0412 345 678", "AU"), (20, "98765 43210", "IN"), (21, "138 0013 8000", "CN"), (22, "090-1234-5678", "JP"), (23, "11 91234-5678", "BR"), (24, "0532 123 45 67", "TR"), (25, "70 12 34 56", "DK"),
+]
+NUMBERS = [
+    (1, "+74951234567", "+7 495 123-45-67"), (2, "+74951234567", "+7 495 123-45-67"), (3, "+12125550199", "+1 212-555-0199"), (4, "+493012345678", "+49 30 12345678"), (7, "+33142685300", "+33 1 42 68 53 00"), (9, "+493012345678", "+49 30 12345678"), (8, "+442079460958", "+44 20 7946 0958"),
+    (10, "+6561234567", "+65 6123 4567"), (11, "+48221234567", "+48 22 123 45 67"), (12, "+34600123456", "+34 600 12 34 56"), (13, "+390612345678", "+39 06 1234 5678"), (15, "+74951234567", "+7 495 123-45-67"), (16, "+375171234567", "+375 17 123-45-67"),
+    (17, "+380441234567", "+380 44 123 4567"), (18, "+41441234567", "+41 44 123 45 67"), (19, "+61412345678", "+61 412 345 678"), (20, "+919876543210", "+91 98765 43210"), (21, "+8613800138000", "+86 138 0013 8000"), (22, "+819012345678", "+81 90-1234-5678"),
+    (23, "+5511912345678", "+55 11 91234-5678"), (24, "+905321234567", "+90 532 123 45 67"), (25, "+4570123456", "+45 70 12 34 56"),
+]
 
-@query()
+
+@query(f"SELECT id, value, value_human FROM {values(NUMBERS, 'id, value, value_human')}")
+def phone_cases(spark, d):
+    """Numbers as they are written in many regions, and digits that are none."""
+    rows = spark.createDataFrame(PHONED, "id int, t string, region string")
+    found = rows.select("id", F.explode(contacts.page_contacts("t", F.array("region"))).alias("c")).select("id", "c.value")
+    return found.select("id", "value", contacts.human_phone("value").alias("value_human"))
+
+
+#: The sightings of every page; a value once for each page.
+PAGE_SIGHTED = f"""(SELECT kind, value, raw, '{V.ARCHIVE}20100101120000/' || url AS snapshot_url, '20100101120000' AS "timestamp", url AS source_url FROM (SELECT page_id, 'email' AS kind, value, raw FROM {emails_sql(TEXTS_SQL, 'page_id', 'text')}
+  UNION ALL SELECT page_id, 'phone', value, raw FROM {phones_sql(TEXTS_SQL, 'page_id', 'text')}) JOIN pages USING (page_id))"""
+
+
+@query(f"SELECT * FROM {PAGE_SIGHTED}")
 def page_sightings(spark, d):
     """Contacts of every page, by the exact matchers."""
     pages = table(spark, d, "pages").select(F.lit("20100101120000").alias("timestamp"), F.col("url").alias("original"), F.col("html").alias("content"))
     return contacts.sightings(pages)
 
 
-@query()
-def document_phones(spark, d):
-    """Every phone number of the documents, in E.164 and grouped for reading."""
-    docs = table(spark, d, "documents").select(F.lit("20100101120000").alias("timestamp"), F.col("doc_id").cast("string").alias("original"), F.col("text").alias("content"))
-    found = contacts.sightings(docs).where("kind = 'phone'")
-    return found.select(F.col("source_url").cast("long").alias("doc_id"), "value", contacts.human_phone("value").alias("value_human"), "raw")
-
-
-@query()
+@query(f"""SELECT any_value(kind) AS kind, value, (SELECT string_agg(raw, ' | ' ORDER BY seen) FROM (SELECT raw, min(source_url || ' ' || raw) AS seen FROM {PAGE_SIGHTED} i WHERE i.value = o.value GROUP BY raw)) AS value_raw,
+  min("timestamp") AS first_ts, max("timestamp") AS last_ts, count(*) AS sightings, arg_min(snapshot_url, source_url) AS first_url, arg_max(snapshot_url, source_url) AS last_url,
+  CASE WHEN any_value(kind) = 'email' THEN value ELSE {HUMAN_SQL} END AS value_human, '2010-01-01' AS first_seen, '2010-01-01' AS last_seen FROM {PAGE_SIGHTED} o GROUP BY value""")
 def report_rows(spark, d):
     """The report of every page's contacts."""
     return timeline.report(page_sightings(spark, d))
 
 
+@query(f"""SELECT c."timestamp" AS "timestamp", kind, value FROM {CAPTURES} c JOIN pages p ON c.original = p.url
+  JOIN (SELECT page_id, 'email' AS kind, value FROM {emails_sql(TEXTS_SQL, 'page_id', 'text')} UNION ALL SELECT page_id, 'phone', value FROM {phones_sql(TEXTS_SQL, 'page_id', 'text')}) s ON s.page_id = p.page_id WHERE c.status = '200' AND c.mimetype = 'text/html'""")
+def capture_contacts(spark, d):
+    """Contacts of every good capture, by joining captures to their bodies."""
+    captures = C.filtered(made_captures(spark, d)).select("timestamp", "original")
+    bodies = table(spark, d, "pages").select(F.col("url").alias("original"), F.col("html").alias("content")).withColumn("error", F.lit(None).cast("string"))
+    return contacts.sightings(captures.join(bodies, "original")).select("timestamp", "kind", "value")
+
+
 __all__ = ["ORACLES", "QUERIES", "markup"]

@@ -46,6 +46,11 @@ def decode_cfemail(token: Column) -> Column:
     return F.when(text.contains("@"), text)
 
 
+def spelled(text: Column) -> Column:
+    """Whether a text holds a word or sign that stands for 'at' where plain() would read it."""
+    return text.rlike(r"(?iuU)[\[({]\s*@\s*[\])}]|\s@\s|\b(?:at|собака|sobaka)\b")
+
+
 def contacts(text: Column | str) -> Column:
     """array<struct<value, raw, pass>> of a normalised text: plain addresses first, then spelled-out ones, each value once."""
     text = F.col(text) if isinstance(text, str) else text
@@ -54,6 +59,7 @@ def contacts(text: Column | str) -> Column:
         made = F.transform(found_, lambda r: F.struct(canonical(r).alias("value"), r.alias("raw"), F.lit(step).alias("pass")))
         return F.filter(made, lambda c: plausible(c["value"]) & (F.lit(step == 1) | ~is_prose(c["value"])))
 
-    both = F.concat(of(found(text), 1), of(found(plain(text)), 2))
-    keep = F.transform(F.array_distinct(F.transform(both, lambda c: c["value"])), lambda v: F.element_at(F.filter(both, lambda c: c["value"] == v), 1))
-    return keep
+    none = F.array().cast("array<struct<value:string,raw:string,pass:int>>")
+    both = F.concat(of(found(text), 1), F.when(spelled(text), of(found(plain(text)), 2)).otherwise(none))
+    # A fold reads its array once; an array named inside a lambda would be made again for each element.
+    return F.aggregate(both, none, lambda kept, c: F.when(F.exists(kept, lambda k: k["value"] == c["value"]), kept).otherwise(F.concat(kept, F.array(c))))

@@ -35,6 +35,7 @@ BLANKS = tuple(
     )
 )
 SLASHED = (re.compile(r"\+\d[\d\s\-()/]{6,}\d"), re.compile(r"(?<!\d)\d{2,4}\s*/\s*\d{6,}(?!\d)"))
+SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 
 
 class _Page(HTMLParser):
@@ -93,10 +94,15 @@ def blanked(text: str) -> str:
 
 def normalise(content: str | None) -> str:
     page = _Page()
-    page.feed(content or "")
-    page.close()
+    if content and "<" not in content and "&" not in content:
+        page.texts.append(content)  # plain text is its own only node
+    else:
+        page.feed(content or "")
+        page.close()
     text = html.unescape(" ".join(page.texts)).translate({0xFF20: "@", 0xFF0E: "."})
-    text = blanked(re.sub(r"\s+", " ", text))
-    for shape in SLASHED:
-        text = shape.sub(lambda m: m[0].replace("/", " "), text)
+    text = " ".join(SPACE.split(text))
+    if DIGIT.search(text):  # every shape holds one
+        text = blanked(text)
+        for shape in SLASHED:
+            text = shape.sub(lambda m: m[0].replace("/", " "), text)
     return "\n".join([text, *page.links, *filter(None, map(decode_protected, page.protected))])

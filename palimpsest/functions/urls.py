@@ -57,9 +57,24 @@ def source_of_playback(url: Column | str) -> Column:
     return F.when(found != "", found)
 
 
-def stamp_number(timestamp: Column | str) -> Column:
-    """A timestamp of any length as a 14-digit number."""
-    return F.rpad(_col(timestamp), 14, "0").cast("long")
+def stamp_seconds(timestamp: Column | str) -> Column:
+    """Seconds since 1970 of a timestamp of 4 to 14 digits, the missing ones taken as the earliest; null if it isn't one. Days and hours beyond their range run on."""
+    t = F.trim(_col(timestamp))
+    whole = F.concat(t, F.substring(F.lit("00010101000000"), F.length(t) + 1, F.lit(14)))
+    part = lambda at, n: F.substring(whole, at, n).cast("long")
+    month = F.least(F.greatest(part(5, 2), F.lit(1)), F.lit(12)).cast("int")
+    days = F.unix_date(F.make_date(F.greatest(part(1, 4), F.lit(1)).cast("int"), month, F.lit(1))) + F.greatest(part(7, 2), F.lit(1)) - 1
+    return F.when(t.rlike("^[0-9]{4,14}$"), days * 86400 + part(9, 2) * 3600 + part(11, 2) * 60 + part(13, 2))
+
+
+def surt(url: Column | str) -> Column:
+    """The key an index sorts a URL by: host reversed without www and usual ports, then path and query in lower case; scheme and fragment don't count."""
+    u = F.lower(F.regexp_replace(F.trim(_col(url)), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", ""))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^(?:[^/?#@]*@)?([^/?#]*)", 1), r":(?:80|443)?$", ""), r"^www\d{0,3}\.(?=.*\.)", "")
+    labels, port = F.split(F.substring_index(name, ":", 1), r"\."), F.regexp_extract(name, r"(:\d+)$", 1)
+    rest = F.regexp_extract(u, r"^[^/?#]*(/[^?#]*)", 1)
+    rest = F.when(rest == "", "/").otherwise(F.regexp_replace(rest, r"(?<=.)/+$", ""))
+    return F.concat(F.array_join(F.reverse(labels), ","), port, F.lit(")"), rest, F.regexp_extract(u, r"^[^?#]*(\?[^#]+)", 1))
 
 
 def human_date(timestamp: Column | str) -> Column:

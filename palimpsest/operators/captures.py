@@ -19,12 +19,16 @@ def key() -> Column:
     return F.coalesce(F.when(F.col("urlkey") != "", F.col("urlkey")), F.col("original"))
 
 
-def matching(captures: DataFrame, domain: str, subdomains: bool = True) -> DataFrame:
-    """Captures of a host with all its subdomains, or of exactly one URL."""
+def matching(captures: DataFrame, target: str, subdomains: bool = True) -> DataFrame:
+    """Captures of a host with all its subdomains, or of exactly one URL; a bare host is its own root then.
+
+    One URL is one index key: scheme, www and a closing slash don't count. The key is a literal, so the scan can skip row groups by it.
+    """
     if not subdomains:
-        return captures.where(F.col("original") == domain)
+        wanted = captures.sparkSession.range(1).select(urls.surt(F.lit(target))).first()[0]
+        return captures.where((F.col("urlkey") == wanted) | (~F.coalesce(F.col("urlkey").contains(")"), F.lit(False)) & (urls.surt("original") == wanted)))
     host = urls.host("original")
-    return captures.where((host == domain) | host.endswith("." + domain))
+    return captures.where((host == target) | host.endswith("." + target))
 
 
 def filtered(captures: DataFrame, from_year: int | None = None, to_year: int | None = None, only_html: bool = True, only_ok: bool = True, urlkey_words: list[str] | None = None) -> DataFrame:
@@ -96,12 +100,18 @@ def probes(captures: DataFrame, base: str, paths=V.WELL_KNOWN_PATHS, extra=(), s
 def nearest(captures: DataFrame, asked: DataFrame) -> DataFrame:
     """For each (url, probe) in `asked`, the capture of that URL nearest in time; the earlier of two. URLs without any drop out.
 
-    An equi-join on the URL whose matches are reduced to one row as they arrive; `asked` is broadcast where its size allows, by the optimiser.
+    Between two neighbouring probes only the first and the last capture can be nearest to any, so captures are first reduced to those, by URL and
+    interval, as they are read: a URL with many captures sends few. `asked` is broadcast where its size allows, by the optimiser.
     """
-    distance = F.abs(urls.stamp_number("timestamp") - urls.stamp_number("probe"))
-    found = captures.join(asked, captures["original"] == asked["url"])
-    best = F.min_by(F.struct("timestamp", "original", "mimetype", "status", "urlkey"), F.struct(distance, "timestamp"))
-    return found.groupBy("url", "probe").agg(best.alias("c")).select("url", "probe", "c.*")
+    row = F.struct("timestamp", "original", "mimetype", "status", "urlkey")
+    grid = asked.select("url", "probe", urls.stamp_seconds("probe").alias("asked_at")).where("asked_at is not null").distinct()
+    stops = grid.groupBy("url").agg(F.collect_set("asked_at").alias("stops"))
+    timed = captures.select(F.col("original").alias("url"), urls.stamp_seconds("timestamp").alias("at"), row.alias("c")).where("at is not null")
+    between = timed.join(stops, "url").select("url", "at", "c", F.size(F.filter("stops", lambda s: s <= F.col("at"))).alias("interval"))
+    ends = between.groupBy("url", "interval").agg(F.min(F.struct("at", "c")).alias("first"), F.min(F.struct((-F.col("at")).alias("at"), "c")).alias("last"))
+    both = ends.select("url", F.explode(F.array("first.c", "last.c")).alias("c")).select("url", "c", urls.stamp_seconds("c.timestamp").alias("at"))
+    best = F.min(F.struct(F.abs(F.col("at") - F.col("asked_at")).alias("distance"), "c"))
+    return both.join(grid, "url").groupBy("url", "probe").agg(best.alias("best")).select("url", "probe", "best.c.*")
 
 
 def with_probes(index: DataFrame, probed: DataFrame, capacity: int | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,23 +14,33 @@ from ..functions import emails, markup, phones, urls
 from ..functions import vocabulary as V
 
 CONTACTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "value", "raw")]))
-#: Nothing without one of these can hold a contact, in whatever way it is written.
-POSSIBLE = r"(?iuU)@|＠|&|(?:\d\D*){4}|\bat\b|собака|sobaka"
 SIGHTINGS = ["kind", "value", "raw", "snapshot_url", "timestamp", "source_url"]
 
 
+EMAIL, AT, DOT = re.compile(emails.EMAIL), re.compile(emails.AT, re.I), re.compile(emails.DOT, re.I)
+SPELLED = re.compile(r"[\[({]\s*@\s*[\])}]|\s@\s|\b(?:at|собака|sobaka)\b", re.I)
+
+
+def possible(content) -> Column:
+    """Whether a page can hold a contact, in whatever way it is written; false only where there is none.
+
+    An address needs an at sign, or a word for it and a dot (or a word for that) in a domain; entities can stand for anything; a number needs six digits, or three and a plus.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    spelled = c.rlike(r"(?iuU)\b(?:at|собака|sobaka)\b") & c.rlike(r"(?iuU)[.．][A-Za-z]{2}|\b(?:dot|точка|tochka)\b|[\[({]\s*\.")
+    return c.rlike("[@＠&]") | spelled | c.rlike(r"(?U)(?:\d\D*+){6}") | (c.rlike("[+＋]") & c.rlike(r"(?U)(?:\d\D*+){3}"))
+
+
 def extract_emails(text: str) -> list[tuple[str, str]]:
     """value, raw of each address of a normalised text."""
-    import re
-
     found: dict[str, str] = {}
-    email, at, dot = (re.compile(p, f) for p, f in ((emails.EMAIL, 0), (emails.AT, re.I), (emails.DOT, re.I)))
-    assets, www = tuple(V.EMAIL_ASSETS), "www."
-    for step, page in enumerate((text, dot.sub(".", at.sub("@", text)))):
-        for m in email.finditer(page):
+    for step, page in enumerate((text, DOT.sub(".", AT.sub("@", text)) if SPELLED.search(text) else "")):
+        if "@" not in page:
+            continue
+        for m in EMAIL.finditer(page):
             value = m[1].lower().rstrip(".,;:")
             local, _, domain = value.partition("@")
-            bad = not local or not domain or domain.startswith(www) or value.endswith(assets) or any(x in value for x in ("u003e", "u003c", "\\x"))
+            bad = not local or not domain or domain.startswith("www.") or value.endswith(tuple(V.EMAIL_ASSETS)) or any(x in value for x in ("u003e", "u003c", "\\x"))
             if not bad and not (step and local in V.PROSE_WORDS):
                 found.setdefault(value, m[1])
     return list(found.items())
@@ -60,22 +71,14 @@ def human_phone(value: pd.Series) -> pd.Series:
 
 def sightings(pages: DataFrame, regions: Iterable[str] = V.SCAN_REGIONS) -> DataFrame:
     """SIGHTINGS of pages (timestamp, original, content, error); pages with an error hold none."""
-    listed = F.array(*map(F.lit, regions))
+    listed = F.array(*map(F.lit, regions)).cast("array<string>")
     good = pages.where("error is null") if "error" in pages.columns else pages
-    good = good.where(F.col("content").rlike(POSSIBLE))
+    good = good.where(possible("content"))
     found = good.select("timestamp", "original", F.explode(page_contacts("content", listed)).alias("c"))
     return found.select("c.kind", "c.value", "c.raw", urls.playback("timestamp", "original").alias("snapshot_url"), "timestamp", F.col("original").alias("source_url"))
 
 
-def text_sightings(texts: DataFrame) -> DataFrame:
-    """Sightings in plain text (timestamp, original, content): addresses and +1 numbers, by native functions alone."""
-    mail = F.transform(emails.contacts("content"), lambda c: F.struct(F.lit("email").alias("kind"), c["value"].alias("value"), c["raw"].alias("raw")))
-    calls = F.transform(nanp_numbers("content"), lambda r: F.struct(F.lit("phone").alias("kind"), F.concat(F.lit("+"), F.regexp_replace(r, r"\D", "")).alias("value"), r.alias("raw")))
-    found = texts.where(F.col("content").rlike(r"(?iu)[@+]|\bat\b|собака|sobaka")).select("timestamp", "original", F.explode(F.concat(mail, F.array_distinct(calls))).alias("c"))
-    return found.select("c.kind", "c.value", "c.raw", urls.playback("timestamp", "original").alias("snapshot_url"), "timestamp", F.col("original").alias("source_url"))
-
-
-def nanp_numbers(text) -> "F.Column":  # noqa: F821
+def nanp_numbers(text) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"), F.lit(0))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -48,13 +48,24 @@ def distinct_contacts(sightings: DataFrame) -> DataFrame:
 def latency(samples: DataFrame, column: str = "seconds", least: int = 4, fallback: float = 0.6) -> DataFrame:
     """n, mean, median and the 95th percentile by the lower rank; the fallback where there are too few samples.
 
-    `samples` are a handful of timed fetches, so they are gathered in one row.
+    Quantiles are read off a cumulative count of the distinct values, so no task ever holds the samples; the median is the mean of the two in the middle.
     """
-    n = F.count(column)
-    rank = F.greatest(F.lit(1), F.floor(n * 0.95)).cast("int")
-    enough = n >= least
-    pick = lambda x: F.when(enough, x).otherwise(F.lit(fallback))
-    return samples.agg(n.alias("n"), pick(F.avg(column)).alias("mean"), pick(F.expr(f"percentile({column}, 0.5)")).alias("median"), pick(F.try_element_at(F.array_sort(F.collect_list(column)), rank)).alias("p95"))
+    value = F.col(column).cast("double").alias("value")
+    by_value = samples.where(F.col(column).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("times"))
+    totals = by_value.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), (F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    n = F.col("n")
+    ranks = F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2), F.greatest(F.lit(1), F.floor(n * 0.95)))
+    asked = totals.select("n", "mean", F.posexplode(ranks).alias("which", "rank"))
+    # Exact counts up to each value, in two levels: within a range of values, then of the ranges before it.
+    ranges = max(1, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = by_value.repartitionByRange(ranges, "value").select("value", "times", F.spark_partition_id().alias("slot"))
+    before = ordered.groupBy("slot").agg(F.sum("times").alias("all")).select("slot", (F.sum("all").over(Window.orderBy("slot")) - F.col("all")).alias("before"))
+    counted = ordered.withColumn("up_to", F.sum("times").over(Window.partitionBy("slot").orderBy("value"))).join(F.broadcast(before), "slot").withColumn("up_to", F.col("up_to") + F.col("before"))
+    hit = counted.join(F.broadcast(asked.select("which", "rank")), (F.col("rank") > F.col("up_to") - F.col("times")) & (F.col("rank") <= F.col("up_to")))
+    both = hit.select("which", "value").unionByName(totals, allowMissingColumns=True)
+    pick = lambda x: F.when(F.max("n") >= least, x).otherwise(F.lit(fallback))
+    at = lambda k: F.max(F.when(F.col("which") == k, F.col("value")))
+    return both.agg(F.max("n").alias("n"), pick(F.max("mean")).alias("mean"), pick((at(0) + at(1)) / 2).alias("median"), pick(at(2)).alias("p95"))
 
 
 def scan_counts(pages: DataFrame, cached: str = "cached") -> DataFrame:

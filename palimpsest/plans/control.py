@@ -15,8 +15,7 @@ from pyspark.sql import SparkSession
 
 def within(spark: SparkSession, seconds: float | None, action: Callable[[], object], drain: float = 0.2) -> tuple[object, bool]:
     """The action's result and whether it was cut off: after `seconds` its Spark jobs are cancelled. Its own errors are raised."""
-    if seconds is None:
-        return action(), False
+    seconds = seconds if seconds is not None else threading.TIMEOUT_MAX
     tag, box = f"within-{uuid.uuid4().hex}", {}
 
     def run() -> None:
@@ -30,7 +29,11 @@ def within(spark: SparkSession, seconds: float | None, action: Callable[[], obje
 
     worker = InheritableThread(target=run, daemon=True)
     worker.start()
-    worker.join(max(0.0, seconds))
+    try:
+        worker.join(max(0.0, seconds))
+    except KeyboardInterrupt:  # nothing goes on behind the caller's back
+        spark.interruptTag(tag)
+        raise
     if worker.is_alive():
         spark.interruptTag(tag)
         worker.join(drain)

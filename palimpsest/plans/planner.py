@@ -13,13 +13,13 @@ ROWS_PER_PAGE, COUNTED_PAGES = 50_000, 2
 MODES = {"auto": (300.0, False), "default": (300.0, False), "deep": (900.0, False), "exhaustive": (0.0, True)}
 
 
-# Reasons that a report gives for its plan.
-FORCED = "--all forced: broad CDX scan (all HTML pages, no URL filter) up to {capacity:,} snapshots"
-NOTHING = "Internet Archive has no captures for this domain"
-FITS = "site fits timeout ({total} ≤ {capacity:,}) — broad CDX scan (all HTML pages, no URL filter)"
-FILTERED = "contact-URL filter on; will fetch top {capacity:,}{of} snapshots"
-BROADENED = "broadened: URL filter dropped after zero-result first pass"
-EXTENDED = "extended: timeout +{extra:.0f}s after zero-result pass"
+#: Reasons that a report gives for its plan; tools look for their first words.
+FORCED = "--all forced: broad CDX scan of every HTML page, {capacity:,} captures at most"
+NOTHING = "no captures of this domain are known"
+FITS = "{total} ≤ {capacity:,} captures in the time given: broad CDX scan of every HTML page"
+FILTERED = "contact-URL filter on: the best {capacity:,}{of} captures"
+BROADENED = "broadened: the first pass found nothing, so every URL is read"
+EXTENDED = "extended: the first pass found nothing, so there are {extra:.0f}s more"
 
 
 @dataclass(frozen=True)

@@ -61,6 +61,19 @@ class PageCache:
         """Nothing is held open."""
 
 
+def http_get(url: str, seconds: float = 30.0, agent: str = "palimpsest") -> tuple[int, str, str]:
+    """status, content type, body of a URL; an answer that isn't a page is no exception."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=seconds) as answer:
+            kind = answer.headers.get("Content-Type") or ""
+            return answer.status, kind, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+    except HTTPError as e:
+        return e.code, e.headers.get("Content-Type") or "", ""
+
+
 def fetch_one(get: Get, url: str, retries: int = 3, sleep=time.sleep) -> tuple[int, str, str | None]:
     """status, content, error of a page; transient failures are tried again after a pause that grows."""
     status, error = 0, "not tried"

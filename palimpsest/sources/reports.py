@@ -7,6 +7,7 @@ import io
 import json
 import re
 from datetime import datetime
+from itertools import islice
 from pathlib import Path
 
 from ..plans.scan import Scan, hint
@@ -64,5 +65,6 @@ def to_text(s: Scan) -> tuple[str, str]:
     if s.timeout_exhausted:
         print(f"(stopped at timeout — pass --timeout N{'' if s.single_url else ' or --all'} for more)", file=out)
     print("\n" + (table(rows, ["Contact", "First seen", "Last seen"]) if rows else "No contacts found."), file=out)
-    notes = [f"\nHint: {h}" for h in [hint(s)] if h] + (["\nErrors (first 10):", *(f"  - {e}" for e in s.errors[:10])] if s.errors else [])
+    first = list(islice(s.each_error(), 10))
+    notes = [f"\nHint: {h}" for h in [hint(s)] if h] + (["\nErrors (first 10):", *(f"  - {e}" for e in first)] if first else [])
     return out.getvalue(), "\n".join(notes)

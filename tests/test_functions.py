@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from palimpsest import extract_contacts
 from palimpsest.functions import emails, markup, phones, urls
-from palimpsest.operators.contacts import extract_emails
+from palimpsest.operators.contacts import extract_emails, possible
 
 
 def values(html, kind, regions=("RU", "US", "GB", "DE", "FR")):
@@ -58,6 +58,10 @@ def test_protected_addresses():
         ("37.476600, -122.144000", ("US", "RU"), []),
         ("DE0007472060", ("DE",), []),
         ("postal code 225006", ("BY",), []),
+        ("order 4567891, sku 998877 and 31337001", ("PL",), []),
+        ("order 123456789, stock 4567891, sku 998877 and 31337001", ("IT",), []),
+        ("order 123456789, stock 4567891, sku 998877 and 31337001", ("HU", "TR", "CN", "IN", "AR"), []),
+        ("order 123456789", ("PL",), ["+48123456789"]),
         ("card 4785380592391139 from 198.51.100.7", ("RU", "US", "GB", "DE", "FR"), []),
     ],
 )
@@ -78,6 +82,26 @@ def test_human_phone(e164, shown):
     assert phones.human(e164) == shown
 
 
+def test_every_region_has_a_plan():
+    for region, plan in phones.PLANS.items():
+        assert plan.code == phones.CODES[region] and plan.lengths and phones.re.compile(plan.valid)
+        assert not phones.re.fullmatch(plan.valid, "1") and not phones.re.fullmatch(plan.valid, "9" * 20), region
+        assert all(phones.human(f"+{plan.code}{'2' * n}").replace(" ", "").replace("-", "") == f"+{plan.code}{'2' * n}" for n in plan.lengths), region
+
+
+@given(st.text(alphabet="0123456789 +-./()a", max_size=60))
+def test_zones_lose_no_number(text):
+    whole = [(0, len(text))]
+    for region, strict in ((None, False), ("RU", True), ("US", True), ("DE", True)):
+        assert [m for m in phones.matches(text, region, strict, whole) if strict or "+" in m[1]] == [m for m in phones.matches(text, region, strict) if strict or "+" in m[1]]
+
+
+def test_possible_loses_no_contact(spark):
+    texts = ["a@b.example", "a＠b．example", "x at y.example", "x собака y точка com", "x sobaka y.example", "&#43;7 495", "+7 495 1234567", "＋74951234567", "1234567", "look at me", "v. 2.0", "x at y dot example", "x (at) y [.] example", "a at b", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("p", possible("t")).collect()
+    assert all(r.p for r in rows if extract_contacts(r.t, ("RU", "US", "DE"))) and not any(r.p for r in rows if r.t in ("look at me", "a at b", "v. 2.0", ""))
+
+
 @given(st.text(alphabet="0123456789 ./-:()+UAINHRBTaxDE\n", max_size=80))
 def test_blanking_keeps_length(text):
     assert len(markup.blanked(text)) == len(text)

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import time
 from datetime import UTC, datetime, timedelta
 
@@ -71,9 +72,85 @@ def test_deduplication_and_ranking(spark):
 
 def test_nearest_prefers_the_earlier(spark):
     url = "http://a.example/"
-    rows = spark.createDataFrame([capture("20040101000000", url), capture("20060101000000", url)], C.COLUMNS)
+    rows = spark.createDataFrame([capture("20041231000000", url), capture("20050102000000", url)], C.COLUMNS)
     asked = spark.createDataFrame([(url, "20050101"), ("http://b.example/", "20050101")], "url string, probe string")
-    assert [(r.url, r.timestamp) for r in C.nearest(rows, asked).collect()] == [(url, "20040101000000")]
+    assert [(r.url, r.timestamp) for r in C.nearest(rows, asked).collect()] == [(url, "20041231000000")]
+
+
+def test_nearest_is_by_time_not_by_digits(spark):
+    url = "http://a.example/"
+    rows = spark.createDataFrame([capture(t, url) for t in ("20041231000000", "20050201000000", "19990101000000", "20300101", "bad")], C.COLUMNS)
+    asked = spark.createDataFrame([(url, "20050101"), (url, "20050118"), (url, "1990"), (url, "2099")], "url string, probe string")
+    assert {r.probe: r.timestamp for r in C.nearest(rows, asked).collect()} == {"20050101": "20041231000000", "20050118": "20050201000000", "1990": "19990101000000", "2099": "20300101"}
+
+
+def test_nearest_against_brute_force(spark):
+    r = random.Random(3)
+    made = [(f"http://{u}.example/", datetime(2000, 1, 1) + timedelta(seconds=r.randrange(10**9))) for u in "abc" for _ in range(40)]
+    rows = spark.createDataFrame([capture(f"{t:%Y%m%d%H%M%S}", u) for u, t in made], C.COLUMNS)
+    probes = [datetime(2000, 1, 1) + timedelta(days=r.randrange(12000)) for _ in range(25)]
+    asked = spark.createDataFrame([(f"http://{u}.example/", f"{p:%Y%m%d}") for u in "abcd" for p in probes], "url string, probe string")
+    want = {(u, f"{p:%Y%m%d}"): min((abs(t - p), f"{t:%Y%m%d%H%M%S}") for v, t in made if v == u)[1] for u, _ in made for p in probes}
+    assert {(x.url, x.probe): x.timestamp for x in C.nearest(rows, asked).collect()} == want
+
+
+def test_one_url_is_one_key(spark):
+    rows = spark.createDataFrame([("2005", u, "text/html", "200", k) for u, k in (("http://example.com/", "com,example)/"), ("https://www.example.com", ""), ("http://example.com/a", "com,example)/a"), ("http://s.example.com/", None))], C.COLUMNS)
+    assert C.matching(rows, "example.com", subdomains=False).count() == 2 and C.matching(rows, "http://EXAMPLE.com:80/a/", subdomains=False).count() == 1
+    assert C.matching(rows, "example.com").count() == 4
+
+
+def test_latency_matches_sorted_samples(spark):
+    r = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 20, 101):
+        x = [r.choice((0.5, 0.25, 1.0, r.randrange(1000) / 8)) for _ in range(n)]
+        got = timeline.latency(spark.createDataFrame([(v,) for v in [*x, None]], "seconds double").repartition(3)).first()
+        want = calibration.summarise(x)
+        assert (got.n, got["mean"], got["median"], got["p95"]) == (n, pytest.approx(want.avg_latency_s), want.samples_p50, want.samples_p95)
+
+
+def test_scan_fetches_what_the_cache_lacks(spark, archive, tmp_path):
+    bodies = {f"{t}id_/{u}": c for t, u, c, _ in PAGES}
+    get = lambda url: (200, "text/html", c) if (c := bodies.get(url.rpartition("/web/")[2])) else (404, "", "")
+    cache = pages.PageCache(spark, str(tmp_path / "cache"))
+    for hits in (0, 3):
+        found = S.scan(archive[0], None, "romashka.example", get=get, cache=cache, rate=0, workers=2, timeout=300)
+        assert found.sightings.select("value").distinct().count() == 3 and found.errors == ["http://romashka.example/about @ 20080303000000: HTTP 404"]
+        assert (found.cache_hits, found.cache_misses, found.fetched) == (hits, 4 - hits, 3)
+
+
+def many(spark, n=400):
+    kept = spark.range(n).select(F.lit("20050101000000").alias("timestamp"), F.concat(F.lit("http://big.example/contact/"), F.col("id").cast("string")).alias("original"), F.lit("text/html").alias("mimetype"), F.lit("200").alias("status"))
+    return kept.withColumn("urlkey", F.col("original")), kept.select("timestamp", "original", F.concat(F.lit("<p>a"), F.substring_index("original", "/", -1), F.lit("@big.example</p>")).alias("content"), F.lit(None).cast("string").alias("error"))
+
+
+def test_waves_hold_every_page_once(spark):
+    kept, bodies = many(spark)
+    for limit in (300, 0):
+        assert S.scan(kept, bodies, "big.example", timeout=limit, well_known=False).sightings.count() == 400
+
+
+@pytest.mark.parametrize("ends", ["deadline", "interrupt"])
+def test_waves_that_are_done_are_kept(spark, monkeypatch, ends):
+    kept, bodies = many(spark)
+    calls, real = [], control.within
+
+    def within(session, seconds, action, **more):
+        calls.append(1)
+        if len(calls) == 4:  # the index, two waves, and then
+            if ends == "interrupt":
+                raise KeyboardInterrupt
+            return None, True
+        return real(session, seconds, action, **more)
+
+    monkeypatch.setattr(control, "within", within)
+    found = S.scan(kept, bodies, "big.example", timeout=300, well_known=False)
+    assert found.sightings.count() == 100 and found.interrupted == (ends == "interrupt") and found.timeout_exhausted == (ends == "deadline")
+
+
+def test_an_unknown_size_is_told(spark, archive, monkeypatch):
+    monkeypatch.setattr(C, "num_pages", lambda df: df.select(F.expr("raise_error('no size')").alias("pages")))
+    assert any("no size" in e for e in S.scan(*archive, "romashka.example").errors)
 
 
 def test_plan_reaches_the_scan(spark, sf, tmp_path):
@@ -218,3 +295,18 @@ def test_command_line(spark, archive, tmp_path, capsys):
     assert cli.main(given) == 2 and cli.main([*given, "--single-url", "ftp://x"]) == 2
     assert cli.main(["romashka.example", *given, "--json"]) == 0
     assert "old@romashka.example" in capsys.readouterr().out
+    assert cli.main(["romashka.example", *given, "--no-csv", "--no-subdomains", "--deep"]) == 0 and cli.main(["romashka.example"]) == 2
+    with pytest.raises(SystemExit):
+        cli.main(["romashka.example", *given, "--deep", "--timeout", "5"])
+
+
+def test_command_line_fetches_and_calibrates(spark, archive, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "own"))
+    archive[0].write.parquet(str(tmp_path / "c"))
+    given, get = ["--captures", str(tmp_path / "c"), "--cache", str(tmp_path / "k"), "--rate", "0"], lambda url: (200, "text/html", "x@romashka.example")
+    assert cli.main([*given, "--calibrate"], get=get) == 0 and calibration.load().sample_count == 4
+    for said in ("0 pages kept, 4 fetched", "4 pages kept, 0 fetched"):
+        assert cli.main(["romashka.example", *given, "--json"], get=get) == 0
+        out = capsys.readouterr()
+        assert "x@romashka.example" in out.out and said in out.err
+    assert cli.main([*given, "--clear-cache"]) == 0 and "removed 4 pages" in capsys.readouterr().err
