@@ -187,19 +187,24 @@ def phone_plus_nanp(spark, d):
     return held.select("doc_id", F.concat(F.lit("+"), F.regexp_replace("raw", r"\D", "")).alias("value"), "raw")
 
 
-RU, KZ, NANP = (phones.PLANS[r].valid for r in ("RU", "KZ", "US"))
+def national_sql(n: str) -> str:
+    """The number that digits are in the first region of a scan where they are one: as they stand, or after the calling code or the prefix."""
+    found = []
+    for plan in (phones.PLANS[r] for r in V.SCAN_REGIONS):
+        ways = [("", f"'+{plan.code}' || {n}")] * (plan.bare is True) + [(plan.code, f"'+' || {n}")] + [(plan.trunk, f"'+{plan.code}' || {n}[{len(plan.trunk) + 1}:]")] * bool(plan.trunk)
+        found += [f"WHEN regexp_full_match({n}, '{lead}(?:{plan.valid})') THEN {value}" for lead, value in ways]
+    return "CASE " + " ".join(found) + " END"
 
 
 def phones_sql(rows: str, key: str, text: str) -> str:
-    """Numbers of a text that are written +1 (ddd) ddd-dddd, as ten or eleven digits, or as those with three dots; RU, KZ and US, in this order."""
+    """Numbers of a text that are written +1 (ddd) ddd-dddd, as ten or eleven digits, or as those with three dots."""
     each = f"SELECT {key}, i, l[i] AS raw FROM (SELECT {key}, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {key}, regexp_extract_all({text}, '{PHONE_SQL}|[A-Za-z]*[0-9]+(?:[ .-][0-9]+)*[A-Za-z]*') AS l FROM {rows}))"
     shaped = f"SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS n FROM ({each}) WHERE regexp_full_match(raw, '{PHONE_SQL}|[0-9]{{10,11}}|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')"
-    value = f"""CASE WHEN raw[1] = '+' THEN '+' || n WHEN regexp_full_match(n, '{RU}') THEN '+7' || n WHEN regexp_full_match(n, '[78]{RU}') THEN '+7' || n[2:]
-      WHEN regexp_full_match(n, '{KZ}') THEN '+7' || n WHEN regexp_full_match(n, '[78]{KZ}') THEN '+7' || n[2:] WHEN regexp_full_match(n, '{NANP}') THEN '+1' || n WHEN regexp_full_match(n, '1{NANP}') THEN '+1' || n[2:] END"""
+    value = f"CASE WHEN raw[1] = '+' THEN '+' || n ELSE {national_sql('n')} END"
     return f"(SELECT {key}, value, arg_min(raw, i) AS raw FROM (SELECT *, {value} AS value FROM ({shaped})) WHERE value IS NOT NULL GROUP BY {key}, value)"
 
 
-HUMAN_SQL = "CASE WHEN starts_with(value, '+1') THEN '+1 ' || value[3:5] || '-' || value[6:8] || '-' || value[9:] ELSE '+7 ' || value[3:5] || ' ' || value[6:8] || '-' || value[9:10] || '-' || value[11:] END"
+HUMAN_SQL = "CASE WHEN starts_with(value, '+1') THEN '+1 ' || value[3:5] || '-' || value[6:8] || '-' || value[9:] WHEN starts_with(value, '+49') THEN '+49 ' || value[4:7] || ' ' || value[8:] ELSE '+7 ' || value[3:5] || ' ' || value[6:8] || '-' || value[9:10] || '-' || value[11:] END"
 
 
 @query(f"SELECT doc_id, value, {HUMAN_SQL} AS value_human, raw FROM {phones_sql('documents', 'doc_id', 'text')}")
@@ -512,7 +517,7 @@ def page_text_sql(html: str) -> str:
     for tag in markup.DROPPED:
         made = f"regexp_replace({made}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
     made = f"regexp_replace(regexp_replace({made}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("＠", "@"), ("．", ".")):
+    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&amp", "&"), ("＠", "@"), ("．", ".")):
         made = f"replace({made}, '{name}', '{sign}')"
     for shape in BLANKS_SQL:
         made = f"regexp_replace({made}, '{shape.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
@@ -597,4 +602,6 @@ def capture_contacts(spark, d):
     return contacts.sightings(captures.join(bodies, "original")).select("timestamp", "kind", "value")
 
 
-__all__ = ["ORACLES", "QUERIES", "markup"]
+from . import catalogue_runs  # noqa: E402  it registers more queries here
+
+__all__ = ["ORACLES", "QUERIES", "catalogue_runs", "markup"]

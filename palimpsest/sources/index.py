@@ -40,14 +40,15 @@ def captures_of(body: str | None) -> list[dict[str, str]]:
     return [c for c in made if c["timestamp"] and c["original"]]
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of a folder of stored answers, one file each."""
+def read_answers(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Captures of a folder of stored answers, one file each, or divided by a separator."""
 
     @F.udf("array<struct<timestamp:string,original:string,mimetype:string,status:string,urlkey:string>>", useArrow=True)
     def parsed(body):
         return captures_of(body)
 
-    return spark.read.text(path, wholetext=True).select(F.explode(parsed("value")).alias("c")).select("c.*")
+    texts = spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator)
+    return texts.select(F.explode(parsed("value")).alias("c")).select("c.*")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
