@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Nodes that a task keeps at a time.
+NODES = 1_000_000
+
+
 def _spanning(edges: DataFrame) -> DataFrame:
-    """Each partition's edges as stars around the smallest node of each local component: fewer, and fewer rounds."""
+    """Each partition's edges as stars around the smallest node of each local component: fewer, and fewer rounds. Of NODES nodes at a time."""
 
     def shrink(batches):
         import pyarrow as pa
@@ -24,15 +28,21 @@ def _spanning(edges: DataFrame) -> DataFrame:
                 parent[x], x = r, parent[x]
             return r
 
+        def stars():
+            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            for i in range(0, len(pairs), 10_000):
+                u, v = zip(*pairs[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-        for i in range(0, len(pairs), 10_000):
-            u, v = zip(*pairs[i : i + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            if len(parent) >= NODES:
+                yield from stars()
+        yield from stars()
 
     return edges.mapInArrow(shrink, "u long, v long")
 

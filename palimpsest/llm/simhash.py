@@ -3,7 +3,8 @@
 A fingerprint of 64 bits is a ring of 8 segments. If two differ in at most 3 bits, some segment starts a chain of
 which every prefix of length l differs in at most 3*l/8 bits: none in its first two segments, at most one in the next
 three, two up to the seventh, three in all. So two of those three segments agree as well, and one of 24 keys of 32
-exact bits (8 starts, 3 choices) meets every such pair. Distinct fingerprints are dealt by key; in each
+exact bits (8 starts, 3 choices) meets every such pair. Distinct fingerprints are dealt by key; where there are more than HOT of them, a
+key that more than HOT have is dealt on by its four other segments, one of which agrees as well, so it spreads over 1,024 keys of 40 bits. In each
 key's group the chain's budgets prune pairs, the full distance decides. Small groups are compared pair by pair, groups of
 up to BLOCK by a search that reaches each member once, larger ones are first split again by quarters of the bits in
 which members may still differ, one of which must agree; none emits more than a spanning forest, and no pair is lost.
@@ -11,13 +12,13 @@ Components of the linked fingerprints are the classes.
 
 Nulls: a null text is empty, its fingerprint zero; rows with a null doc_id belong to their fingerprint's class but don't
 name it, and a class without any id has a null component_id. Repeated rows share a fingerprint. In `stage`, rows that share a doc_id
-stay or go together and rows without one stay. Other columns aren't read. An empty table gives no rows.
+stay or go together and rows without one stay; all columns are kept, by any name. `groups` reads no others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph, wordbpe
@@ -28,6 +29,10 @@ SHINGLE = 3
 SEED = 42
 SMALL = 48
 BLOCK = 4096
+#: Distinct fingerprints of a key in one task.
+HOT = 1 << 20
+#: Rows of a side that is sent to all tasks: 8 bytes each.
+SENT = 1 << 20
 
 
 def fingerprint(text: bytes) -> int:
@@ -125,24 +130,37 @@ def links(keys: np.ndarray, fps: np.ndarray, start: np.ndarray | None = None, bi
     return found
 
 
-def candidate_keys() -> "F.Column":  # noqa: F821
-    """The 24 keys of column fp: which in bits 32 and up, 32 bits of fingerprint below."""
-    fp = F.col("fp")
+def _segment(i: int) -> Column:
+    return F.shiftrightunsigned(F.col("fp"), 8 * (i % SEGMENTS)).bitwiseAND(F.lit(255))
 
-    def segment(i):
-        return F.shiftrightunsigned(fp, 8 * (i % SEGMENTS)).bitwiseAND(F.lit(255))
 
+def _choices() -> list[tuple[int, list[int], list[int]]]:
+    """First segment, exact and other segments of each of the 24 kinds of key."""
+    chosen = [(i, [i, i + 1, *(i + j for j in (2, 3, 4) if j != skip)]) for i in range(SEGMENTS) for skip in (2, 3, 4)]
+    return [(i, own, [i + j for j in range(SEGMENTS) if i + j not in own]) for i, own in chosen]
+
+
+def candidate_keys() -> Column:
+    """The 24 keys of column fp: which in bits 32 to 36, 32 bits of fingerprint below."""
     keys = []
-    for i in range(SEGMENTS):
-        for skip in (2, 3, 4):
-            own = [0, 1, *(j for j in (2, 3, 4) if j != skip)]
-            key = F.lit((i * 3 + skip - 2) << 32)
-            for n, j in enumerate(own):
-                key = key.bitwiseOR(F.shiftleft(segment(i + j), 8 * n))
-            keys.append(key)
+    for which, (_, own, _) in enumerate(_choices()):
+        key = F.lit(which << 32)
+        for n, j in enumerate(own):
+            key = key.bitwiseOR(F.shiftleft(_segment(j), 8 * n))
+        keys.append(key)
     return F.array(*keys)
 
 
+def narrower_keys() -> Column:
+    """Four keys for a row (key, fp): with one more segment each, which in bits 45 and up, its value in bits 37 to 44."""
+    which = F.shiftrightunsigned("key", 32)
+    found = []
+    for n in range(4):
+        value = F.coalesce(*(F.when(which == k, _segment(others[n])) for k, (_, _, others) in enumerate(_choices())))
+        found.append(F.col("key").bitwiseOR(F.shiftleft(value, 37)).bitwiseOR(F.lit((n + 1) << 45)))
+    return F.array(*found)
+
+
 def edges(distinct: DataFrame) -> DataFrame:
     """a, b: edges that connect all of the distinct fingerprints fp that link."""
 
@@ -152,7 +170,7 @@ def edges(distinct: DataFrame) -> DataFrame:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def out(k, f):
-            both = np.array(links(k, f, (k >> 32) // 3), np.uint64).reshape(-1, 2).view(np.int64)
+            both = np.array(links(k, f, (k >> 32 & 31) // 3), np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -166,6 +184,12 @@ def edges(distinct: DataFrame) -> DataFrame:
             yield out(keys, fps)
 
     rows = distinct.select(F.explode(candidate_keys()).alias("key"), "fp")
+    if distinct.count() > HOT:  # else no key can be hot
+        hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
+        hot = common.materialise(hot, "hot-keys")  # 24 for every HOT fingerprints at most
+        if not hot.isEmpty():
+            apart = rows.join(F.broadcast(hot), "key", "left_semi").select(F.explode(narrower_keys()).alias("key"), "fp")
+            rows = rows.join(F.broadcast(hot), "key", "left_anti").unionByName(apart)
     return rows.repartition(common.partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
@@ -193,4 +217,7 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that name their class."""
     gone = groups(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays and doc_id is not null")
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = common.fresh(docs, "__gone")
+    gone = common.materialise(gone.select(F.col("doc_id").alias(name)), "gone")
+    few = gone.count() <= SENT
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

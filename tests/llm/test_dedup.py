@@ -52,16 +52,48 @@ def test_exact_is_native(spark, sf, monkeypatch):
 
 
 def test_index_takes_batches(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([(d, i, 10 * k) for k, (d, i) in enumerate(r)], "digest long, doc_id long, place long")
     index = exact.LsmIndex(spark, str(tmp_path / "i"))
-    index.flush(spark.createDataFrame([(1, 5), (2, 6)], "digest long, doc_id long"))
+    index.flush(rows((1, 5), (2, 6)))
     index.compact()
-    index.flush(spark.createDataFrame([(1, 3), (1, None)], "digest long, doc_id long"))
+    index.flush(rows((1, 3), (1, None)))
     index.compact()
-    assert sorted(map(tuple, index.read().collect())) == [(1, 3, 3), (2, 6, 1)]
+    assert sorted(map(tuple, index.read().collect())) == [(1, 3, 0, 3), (2, 6, 10, 1)]
     for n in (7, 1):
-        index.flush(spark.createDataFrame([(2, n)], "digest long, doc_id long"))
+        index.flush(rows((2, n)))
         index.compact()
-    assert sorted(map(tuple, index.read().collect())) == [(1, 3, 3), (2, 1, 3)]
+    assert sorted(map(tuple, index.read().collect())) == [(1, 3, 0, 3), (2, 1, 0, 3)]
+
+
+def test_filters_let_members_through(spark, tmp_path):
+    index = exact.LsmIndex(spark, str(tmp_path / "i"))
+    for low in (0, 3000):
+        index.flush(spark.range(low, low + 3000).select((F.col("id") * 7).alias("digest"), "id", F.col("id").alias("place")).withColumnRenamed("id", "doc_id"))
+    probe = spark.range(42000).select(F.col("id").alias("digest"))
+    for _ in (1, 2):  # by the runs' filters, then by the level's
+        found = [r.digest for r in index.may_hold(probe).where("__in").collect()]
+        assert {7 * i for i in range(6000)} <= set(found) and len(found) < 6000 + 0.2 * 36000
+        index.compact()
+    index.flush(spark.range(100).select((F.col("id") * 70).alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("place")))
+    index.compact()
+    again = {r.digest for r in index.may_repeat(probe).where("__in").collect()}
+    assert {70 * i for i in range(100)} <= again and len(again) < 200 + 0.1 * 42000
+    assert index.lookup(index.may_repeat(probe).where("__in")).where("group_size = 2").count() == 100
+
+
+def test_unique_texts_do_not_move(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(exact.common, "materialise", lambda df, label, f=exact.common.materialise: seen.setdefault(label, f(df, label)))
+    docs = spark.createDataFrame([(i, f"text {i if i % 10 else 0}") for i in range(2000)], "doc_id long, text string")
+    assert exact.resolve(docs).where("kept").count() == 1801
+    assert 200 <= seen["probed"].count() < 400
+
+
+def test_one_id_on_a_third_of_all_rows(spark):
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"text  {i % 4}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = exact.resolve(docs).collect()
+    assert sorted(map(tuple, got), key=str) == brute_exact(docs) and sum(r.kept for r in got) == 4
 
 
 def brute_fingerprint(text):
@@ -100,7 +132,7 @@ def check_simhash(docs):
 
 
 def test_simhash(spark, sf, tricky, nothing):
-    check_simhash(spark.read.parquet(f"{sf}/documents.parquet").limit(150))
+    check_simhash(spark.read.parquet(f"{sf}/documents.parquet"))
     check_simhash(tricky)
     base = prose(5, 400).split()
     near = [full(i, " ".join(w if random.Random(i * 1000 + k).random() > 0.004 else "changed" for k, w in enumerate(base))) for i in range(60)]
@@ -110,6 +142,26 @@ def test_simhash(spark, sf, tricky, nothing):
     assert kept.columns == tricky.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id is null").count() == 2
 
 
+def test_hot_keys_are_dealt_on(spark, tricky, monkeypatch):
+    base = prose(6, 500).split()
+    near = [full(i, " ".join(w if random.Random(i * 1000 + k).random() > 0.006 else "changed" for k, w in enumerate(base))) for i in range(150)]
+    monkeypatch.setattr(simhash, "HOT", 20)
+    labels = []
+    monkeypatch.setattr(simhash.common, "materialise", lambda df, label, f=simhash.common.materialise: labels.append(label) or f(df, label))
+    check_simhash(spark.createDataFrame(near, tricky.schema))
+    assert "hot-keys" in labels
+
+
+def test_simhash_stage_keeps_any_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y"), (3, "other words stand here", "z")], "doc_id long, text string, __gone string")
+    for sent in (simhash.SENT, 0):
+        simhash.SENT, kept = sent, simhash.SENT
+        try:
+            assert sorted(map(tuple, simhash.stage(spark, docs, "").collect())) == [(1, "a b c d", "x"), (3, "other words stand here", "z")]
+        finally:
+            simhash.SENT = kept
+
+
 def test_links_are_complete_at_every_group_size(monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(simhash, "BLOCK", 60)
