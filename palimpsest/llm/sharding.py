@@ -8,7 +8,7 @@ two neighbouring keys. What reaches the driver is one row per probe. Then rows m
 and the counts give each row its gapless slot.
 
 A null text counts no bytes. An empty table gives no rows. A shard may be empty if there are fewer rows than shards.
-Other columns of the input are carried on, by any name; the columns added are given by the caller.
+Other columns of the input are carried on, by any name; key and size must be there, and shard and slot mustn't.
 """
 
 from __future__ import annotations
@@ -112,10 +112,12 @@ def shard(rows: DataFrame, shards: int, ranges: int | None = None, tolerance: fl
         return pd.Series(np.searchsorted(edges, np.array(key.tolist(), f"S{KEY_BYTES}"), side="right").astype(np.int32))
 
     range_of = F.pandas_udf(range_of, "int", F.PandasUDFType.SCALAR)
-    info = spark.createDataFrame([(i, i // ranges, base[i] - first[i]) for i in range(shards * ranges)], "__range int, shard int, __base long")
-    dealt = rows.withColumn("__range", range_of("key")).repartitionById(shards * ranges, F.col("__range"))
-    number = F.row_number().over(Window.partitionBy("__range").orderBy("key"))
-    return dealt.withColumn("__place", number).join(F.broadcast(info), "__range").withColumn("slot", (F.col("__base") + F.col("__place") - 1).cast("long")).drop("__range", "__base", "__place")
+    part, place, first_slot = (common.fresh(rows, name) for name in ("__range", "__place", "__base"))
+    info = spark.createDataFrame([(i, i // ranges, base[i] - first[i]) for i in range(shards * ranges)], f"{part} int, shard int, {first_slot} long")
+    dealt = rows.withColumn(part, range_of("key")).repartitionById(shards * ranges, F.col(part))
+    number = F.row_number().over(Window.partitionBy(part).orderBy("key"))
+    numbered = dealt.withColumn(place, number).join(F.broadcast(info), part)
+    return numbered.withColumn("slot", (F.col(first_slot) + F.col(place) - 1).cast("long")).drop(part, first_slot, place)
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
