@@ -12,6 +12,8 @@ from . import wordbpe
 
 END_ID = 2
 _own_scratch: list[str] = []
+#: Scratch paths of this process, in the order in which they were named.
+_named: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    _named.append(f"{scratch(spark)}/{label}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -54,6 +57,18 @@ def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """A point in the order of scratch paths, for drop_since()."""
+    return len(_named)
+
+
+def drop_since(spark: SparkSession, begin: int, keep: int = 1) -> None:
+    """Remove the scratch tables named since a mark, but the last `keep`: once a result is written, what led to it isn't read again."""
+    for path in _named[begin : len(_named) - keep]:
+        drop_scratch(spark, path)
+    del _named[begin : len(_named) - keep]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -51,9 +51,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node in `edges`, two long columns."""
     a, b = edges.columns
     stars = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    spark, begin = edges.sparkSession, common.mark()
     stars = common.materialise(_spanning(stars).distinct(), "edges")
     before = None
     while True:
+        common.drop_since(spark, begin)  # the rounds before this one
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -63,6 +63,44 @@ def test_many_edited_copies_of_an_item_are_found(spark, tricky):
     assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == set(range(30)) and decontaminate.clean(docs, bench).count() == 0
 
 
+def edited_item(item, every, how):
+    words = item.split()
+    if how == "replace":
+        return " ".join("xx" if i % every == every - 1 else w for i, w in enumerate(words))
+    if how == "insert":
+        return " ".join(f"{w} xx" if i % every == every - 1 else w for i, w in enumerate(words))
+    return " ".join(w for i, w in enumerate(words) if i % every != every - 1)
+
+
+def test_recall_of_edited_items(spark, tricky):
+    ways = [(every, how) for how in ("replace", "insert", "leave out") for every in (4, 5, 8)]
+    items = [prose(4000 + i, 40) for i in range(90)]
+    docs = [full(i, f"{prose(5000 + i, 80)} {edited_item(item, *ways[i % len(ways)])} {prose(6000 + i, 80)}") for i, item in enumerate(items)]
+    found = decontaminate.matches(spark.createDataFrame(docs, tricky.schema), spark.createDataFrame([(i, t, "") for i, t in enumerate(items)], BENCH))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(90)}
+
+
+def test_decontamination_matches_all_pairs(spark, sf):
+    items = [(r.item_id, decontaminate.words_of((r.text or "").encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    block = decontaminate.Items(items)
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and len(r.text.split()) < 2500]
+    want = set()
+    for r in docs:
+        ids = np.array([block.vocabulary.get(w, 0) for w in decontaminate.words_of(r.text.encode())] or [0], np.int32)
+        for (item, _), text, (score, _) in zip(items, block.texts, decontaminate.smith_waterman(block.texts, [ids] * len(items)), strict=True):
+            if len(text) >= decontaminate.SEED and score >= decontaminate.THRESHOLD * decontaminate.MATCH * len(text):
+                want.add((r.doc_id, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op1_seed_align_decontamination(spark, sf).collect()}
+    short = {r.doc_id for r in docs}
+    assert want and {g for g in got if g[0] in short} == want
+
+
+def test_a_very_long_item(spark, tricky):
+    item = prose(77, 4000)
+    docs = spark.createDataFrame([full(1, f"{prose(78, 500)} {item}"), full(2, prose(79, 6000)), full(3, " ".join(item.split()[:1000]))], tricky.schema)
+    assert [(r.doc_id, r.score) for r in decontaminate.matches(docs, spark.createDataFrame([(1, item, "")], BENCH)).collect()] == [(1, 1.0)]
+
+
 def test_decontamination_finds_the_tables_own(spark, sf):
     bench = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holders = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and any(b in " ".join(r.text.split()) for b in bench)}
@@ -197,7 +235,7 @@ def test_ordinal_fit_orders_its_thresholds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 3))
     grade = np.searchsorted([-1.0, 0.5, 2.0], x @ [2.0, 1.0, 0.0] + rng.logistic(size=1500) * 0.3)
-    w, theta = toxicity.fit_ordinal(x, grade, 4, l2=0.01)
+    w, theta = toxicity.fit_ordinal(toxicity.Sparse.of(x), grade, 4, l2=0.01)
     assert (np.diff(theta) > 0).all() and w[0] > 1.5 * w[1] > 0 and 0 <= w[2] < 0.1 * w[0]
 
 
@@ -387,7 +425,9 @@ def test_pipeline(spark, sf):
         after = P.common.materialise(stage(spark, kept, sf), "test-stage")
         assert after.columns == docs.columns and 0 < after.count() <= kept.count(), name
         kept = after
+    begin = P.common.mark()
     pieces = P.run(spark, sf)
+    assert [p.rpartition("/")[2].partition("-")[0] for p in P.common._named[begin:]] == ["benchmark", "tokens"]  # the rest is removed
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     assert P.ORACLE_SQL is None
 
