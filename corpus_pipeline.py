@@ -20,8 +20,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each of the others keeps is written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage; what each of the others keeps is written as Parquet and read again, and what led to it is removed."""
+    docs, begin = common.table(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.drop_since(spark, begin)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,16 +19,19 @@ PAGES = "timestamp string, original string, status int, content string, error st
 Get = Callable[[str], tuple[int, str, str]]
 
 
-def default_folder() -> str:
+def default_folder(spark: SparkSession) -> str:
+    """The folder that PALIMPSEST_CACHE_DIR names, or one in the user's own cache; that one is no use to other machines, so only in local mode."""
     own, shared = os.environ.get("PALIMPSEST_CACHE_DIR"), os.environ.get("XDG_CACHE_HOME")
-    return own or str(Path(shared or Path.home() / ".cache") / "palimpsest" / "pages")
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share, by --cache or PALIMPSEST_CACHE_DIR")
+    return own or f"file://{Path(shared or Path.home() / '.cache').absolute() / 'palimpsest' / 'pages'}"
 
 
 class PageCache:
     """Pages by (timestamp, original), as Parquet; the writer's commit makes each addition whole or nothing."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or default_folder()
+        self.spark, self.path = spark, path or default_folder(spark)
 
     def _hadoop(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

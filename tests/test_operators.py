@@ -228,6 +228,14 @@ def test_fetching_and_cache(spark, tmp_path):
     assert cache.clear() == 1 and cache.size() == 0
 
 
+def test_the_default_cache_is_local(spark, monkeypatch, tmp_path):
+    monkeypatch.delenv("PALIMPSEST_CACHE_DIR", raising=False)
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path))
+    assert pages.PageCache(spark).path == f"file://{tmp_path}/palimpsest/pages" and pages.PageCache(spark).size() == 0
+    monkeypatch.setenv("PALIMPSEST_CACHE_DIR", "hdfs:///shared")
+    assert pages.default_folder(spark) == "hdfs:///shared"
+
+
 def test_targets(tmp_path):
     path = tmp_path / "t"
     path.write_text("# x\nexample.com\nhttps://Example.com:80/a/\nother.example/\nexample.com/a\n")
