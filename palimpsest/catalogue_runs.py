@@ -123,6 +123,28 @@ def probes_by_url(spark, d):
     return found.groupBy("url").agg(F.countDistinct("timestamp").alias("captures"), F.count(F.lit(1)).alias("probes"))
 
 
+TURNS = [(u, p, t) for u, answers in (("one", ["20200615"] * 5), ("five", ["20030101", "20070101", "20120101", "20170101", "20220101"]), ("twice", ["20030101", "20030101", "20110101", "20140101", "20210101"])) for p, t in zip(V.PROBE_STAMPS, answers, strict=True)]
+ASKED = [("one", "19990101"), ("five", "19990101"), ("five", "20050101"), ("five", "20100101"), ("five", "20150101"), ("five", "20200101"), ("twice", "19990101"), ("twice", "20050101"), ("twice", "20100101"), ("twice", "20150101"), ("twice", "20200101")]
+
+
+@query(f"SELECT url, probe FROM {values(ASKED, 'url, probe')}")
+def probe_pruning(spark, d):
+    """Probes that an earlier answer covers aren't needed."""
+    return C.needed(spark.createDataFrame(TURNS, "url string, probe string, timestamp string")).select("url", "probe")
+
+
+SECONDS_SQL = "cast(epoch(strptime({c}, '{f}')) AS BIGINT)"
+
+
+@query(f"""SELECT url, unnest(list_transform(list_reduce(turns, lambda kept, t: CASE WHEN len(list_filter(kept, lambda k: t[1].a BETWEEN least(k.a, k.h) AND greatest(k.a, k.h))) > 0 THEN kept ELSE list_concat(kept, t) END, []), lambda k: k.p)) AS probe
+  FROM (SELECT p.url, list([{{'a': {SECONDS_SQL.format(c='p.probe', f='%Y%m%d')}, 'h': {SECONDS_SQL.format(c='n.ts', f='%Y%m%d%H%M%S')}, 'p': p.probe}}] ORDER BY p.probe) AS turns FROM {PAIRS} p JOIN
+  (SELECT q.url, q.probe, arg_min(c."timestamp", abs(epoch(strptime(c."timestamp", '%Y%m%d%H%M%S')) - epoch(strptime(q.probe, '%Y%m%d'))) * 1e12 + cast(c."timestamp" AS BIGINT) / 1e3) AS ts FROM {PAIRS} q JOIN {CAPTURES} c ON c.original = q.url GROUP BY q.url, q.probe) n
+  ON n.url = p.url AND n.probe = p.probe GROUP BY p.url)""")
+def probes_needed(spark, d):
+    """Which probes of every page had to be asked."""
+    return C.needed(C.nearest(made_captures(spark, d), page_probes(spark, d))).select("url", "probe")
+
+
 # --- Scans ------------------------------------------------------------------------------------------------------------
 
 DOMAIN = "site4.example"

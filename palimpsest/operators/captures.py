@@ -114,6 +114,19 @@ def nearest(captures: DataFrame, asked: DataFrame) -> DataFrame:
     return both.join(grid, "url").groupBy("url", "probe").agg(best.alias("best")).select("url", "probe", "best.c.*")
 
 
+def needed(found: DataFrame) -> DataFrame:
+    """Of answered probes (url, probe, timestamp), asked in turn, those that had to be asked: nothing new lies between a probe and its answer, so a later probe there needs no asking.
+
+    A URL has a handful of probes, which are folded in order.
+    """
+    each = F.struct(urls.stamp_seconds("probe").alias("asked"), urls.stamp_seconds("timestamp").alias("hit"), "probe", "timestamp")
+    turns = found.groupBy("url").agg(F.sort_array(F.collect_list(each)).alias("turns"))
+    none = F.filter("turns", lambda t: F.lit(False))
+    covered = lambda kept, t: F.exists(kept, lambda k: t["asked"].between(F.least(k["asked"], k["hit"]), F.greatest(k["asked"], k["hit"])))
+    kept = F.aggregate("turns", none, lambda kept, t: F.when(covered(kept, t), kept).otherwise(F.concat(kept, F.array(t))))
+    return turns.select("url", F.explode(kept).alias("k")).select("url", "k.probe", "k.timestamp")
+
+
 def with_probes(index: DataFrame, probed: DataFrame, capacity: int | None = None) -> DataFrame:
     """Ranked index rows, then probe hits not among them, each (timestamp, original) once, under one capacity; phase says which."""
     columns = ["timestamp", "original", "mimetype", "status", "urlkey"]
