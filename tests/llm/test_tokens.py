@@ -10,6 +10,8 @@ from tokenizers import Tokenizer
 
 from palimpsest.llm import common, packing, tokenfile, wordbpe
 
+from .conftest import prose
+
 PATH = common.default_tokenizer()
 LIBRARY = Tokenizer.from_file(PATH)
 
@@ -133,6 +135,24 @@ def test_packing(spark, sf, tricky, nothing):
     assert packing.pack(nothing, PATH).count() == 0
 
 
+def test_one_row_repeated_is_packed_in_many_tasks(spark):
+    hot = spark.createDataFrame([(7 if i % 3 else None, prose(5, 200)) for i in range(3000)], "doc_id long, text string")
+    rows = packing.pack(hot, PATH, window=1024, shard_tokens=20_000).collect()
+    check_packing(hot, rows, 1024)
+    tasks = {}
+    for r in rows:
+        tasks[r.sequence_id >> 40] = tasks.get(r.sequence_id >> 40, 0) + r.length
+    assert len(tasks) == 4 and max(tasks.values()) < 0.5 * sum(tasks.values())
+
+
+def test_a_query_may_have_all_terms():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 300, 200).astype(np.uint16) for _ in range(20)]
+    idf = np.ones(300, np.float32)
+    all_terms, few = (packing.Index(texts, idf, 200.0, n).scores(0) for n in (None, 5))
+    assert (all_terms >= few - 1e-9).all() and all_terms.sum() > few.sum()
+
+
 def test_neighbours_share_words():
     rng = np.random.default_rng(0)
     topics = [np.arange(100 * k, 100 * k + 60) for k in range(4)]
