@@ -31,9 +31,8 @@ def test_matches_sql(spark, duck, sf, name):
     assert ours == sorted(([plain(r[names.index(c)]) for c in columns] for r in answer.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry_has_rows(spark):
