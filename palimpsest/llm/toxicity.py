@@ -1,7 +1,8 @@
 """Severity of toxic language by cumulative-link (proportional-odds) regression on sparse text features.
 
 Grades are ordered: 0 clean, then GRADES - 1 grades of toxic documents, cut at equal shares of the labelled toxic ones by how
-many words with toxic features they have (the labels themselves only say toxic or not). P(grade > k) = sigmoid(w.x - theta_k) with
+many toxic words they have (the labels themselves only say toxic or not). Which words count for a text's grade is found on the other parts of the
+sample (of FOLDS), where the text isn't, so that a grade doesn't come from what the model learned on that very text. P(grade > k) = sigmoid(w.x - theta_k) with
 one w for all ordered thresholds theta. x holds log(1 + count) of each selected feature of the words of a text, whole
 words and word beginnings of 4 to 7 letters. A document's result is its grade probabilities' sum,
 the expected severity, and whether it is toxic at all, at P(grade > 0) >= 0.5.
@@ -33,6 +34,7 @@ from . import common, wordbpe
 SAMPLE = 6000
 GRADES = 4
 SUPPORT = 5
+FOLDS = 5
 #: Of chi-square with one degree of freedom: one chance in a thousand.
 SIGNIFICANT = 10.83
 PREFIXES = (4, 5, 6, 7)
@@ -53,21 +55,18 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     theta: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, 50.0))
 
-    def counts(self, text: str, cache: dict) -> tuple[dict[int, int], int, int]:
-        """Counts by column, words with any feature, and all words."""
+    def counts(self, text: str, cache: dict) -> dict[int, int]:
+        """How often each column's feature occurs."""
         found: dict[int, int] = {}
-        words, hits = WORD.findall(text.lower()), 0
-        for word in words:
+        for word in WORD.findall(text.lower()):
             at = cache.get(word)
             if at is None:
                 if len(cache) >= CACHE:
                     cache.clear()
                 at = cache[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
-            if at:
-                hits += 1
-                for k in at:
-                    found[k] = found.get(k, 0) + 1
-        return found, hits, len(words)
+            for k in at:
+                found[k] = found.get(k, 0) + 1
+        return found
 
     def probabilities(self, counts: dict[int, int]) -> list[float]:
         """P(grade > k) for each threshold k."""
@@ -75,7 +74,28 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, float(t) - score))) for t in self.theta]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.3, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by the rows, columns and values of what isn't 0 in it."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        return cls(*np.nonzero(x), x[np.nonzero(x)], x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """Of the transpose."""
+        return np.bincount(self.column, self.value * g[self.row], self.shape[1])
+
+
+def fit_ordinal(x: Sparse, grade: np.ndarray, grades: int = GRADES, l2: float = 0.3, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by penalised maximum likelihood; thresholds are a first one and the logs of the gaps, so they stay ordered."""
     n, d = x.shape
     w, t = np.zeros(d), np.concatenate([[1.0], np.zeros(grades - 2)])
@@ -84,7 +104,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
     for step in range(1, steps + 1):
         rate = 0.03 * (1 + math.cos(math.pi * step / steps)) / 2
         theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:, None] - theta, -40, 40)))  # P(grade > k)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w)[:, None] - theta, -40, 40)))  # P(grade > k)
         full = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
         q = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
         slope = p * (1 - p)
@@ -92,7 +112,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
         part = (slope * ((above == grade[:, None] - 1) * 1.0 - (above == grade[:, None]) * 1.0)) / q[:, None]
         g_theta = -part.sum(0)
         g_t = np.concatenate([[g_theta.sum()], [g_theta[k:].sum() * math.exp(t[k]) for k in range(1, grades - 1)]])
-        g = np.concatenate([x.T @ part.sum(1) - l2 * w, g_t]) / n
+        g = np.concatenate([x.back(part.sum(1)) - l2 * w, g_t]) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w + move[:d], t + move[d:]
@@ -110,13 +130,20 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def log_likelihood(bad: int, good: int) -> Column:
+def log_likelihood(have_bad: Column, have_good: Column, bad: int, good: int) -> Column:
     """Of the shares of toxic and clean texts (bad and good in all) that have a feature, against one share for both."""
-    both = F.col("bad") + F.col("good")
-    cells = [(F.col("bad"), both * bad), (F.col("good"), both * good), (bad - F.col("bad"), (bad + good - both) * bad), (good - F.col("good"), (bad + good - both) * good)]
+    both = have_bad + have_good
+    cells = [(have_bad, both * bad), (have_good, both * good), (bad - have_bad, (bad + good - both) * bad), (good - have_good, (bad + good - both) * good)]
     return 2 * sum((F.when(n > 0, n * F.log(n * (bad + good) / expected)).otherwise(0.0) for n, expected in cells), F.lit(0.0))
 
 
+def selected(have_bad: Column, have_good: Column, bad: int, good: int) -> Column:
+    """Whether a feature marks toxic texts: often enough, and by no chance."""
+    if not bad or not good:
+        return F.lit(False)
+    return (have_bad >= SUPPORT) & (have_bad / bad > have_good / good) & (log_likelihood(have_bad, have_good, bad, good) >= SIGNIFICANT)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from the labelled documents among docs."""
 
@@ -137,28 +164,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rows = sample(docs, labels, most).mapInArrow(prepare, "sketch long, toxic boolean, text string")
     rows = common.materialise(rows.groupBy("sketch").agg(F.min_by(F.struct("toxic", "text"), F.struct("text", "toxic")).alias("row")).select("row.*"), "labelled")
 
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+
     def seen(batches):
         import pyarrow as pa
 
-        n: dict[str, list[int]] = {}
         for batch in batches:
-            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
-                for f in [*found, ""]:  # "": the texts themselves
-                    n.setdefault(f, [0, 0])[toxic] += 1
+            n: dict[tuple[str, int], list[int]] = {}
+            for toxic, text, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for f in {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}:
+                    n.setdefault((f, fold), [0, 0])[toxic] += 1
+            names = list(n)
             for i in range(0, len(n), 50_000):
-                names = list(n)[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n[f][1] for f in names]), pa.array([n[f][0] for f in names])], ["feature", "bad", "good"])
-            n = {}
+                part = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([k for _, k in part], pa.int32()), pa.array([n[k][1] for k in part], pa.int64()), pa.array([n[k][0] for k in part], pa.int64())], ["feature", "fold", "bad", "good"])
 
-    totals = rows.agg(F.count_if(F.col("toxic")), F.count_if(~F.col("toxic"))).first()
-    bad, good = totals
+    folds = range(FOLDS)
+    totals = {(k, toxic): 0 for k in folds for toxic in (False, True)} | {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = (sum(totals[k, toxic] for k in folds) for toxic in (True, False))
     if not bad or not good:
         return Model()
-    counted = rows.mapInArrow(seen, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    more = F.col("bad") / bad > F.col("good") / good
-    chosen = counted.where((F.col("feature") != "") & (F.col("bad") >= SUPPORT) & more & (log_likelihood(bad, good) >= SIGNIFICANT))
-    model = Model({f: i for i, f in enumerate(sorted(r[0] for r in chosen.select("feature").collect()))})
+    own = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in folds for c in ("bad", "good")]
+    counted = rows.mapInArrow(seen, "feature string, fold int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), *own)
+    # Selected on the whole sample, for the model; and on all folds but one, for the grades in that one.
+    parts = [selected(F.col("bad") - F.col(f"bad{k}"), F.col("good") - F.col(f"good{k}"), bad - totals[k, True], good - totals[k, False]).alias(f"without{k}") for k in folds]
+    either = " or ".join(["whole", *(f"without{k}" for k in folds)])
+    chosen = counted.select("feature", selected(F.col("bad"), F.col("good"), bad, good).alias("whole"), *parts).where(either).collect()
+    model = Model({f: i for i, f in enumerate(sorted(r.feature for r in chosen if r.whole))})
+    graders = [{r.feature for r in chosen if r[f"without{k}"]} or set(model.index) for k in folds]
     if not model.index:
         return Model()
 
@@ -167,16 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
         cache: dict = {}
         for batch in batches:
-            found = [model.counts(t, cache) for t in batch.column(1).to_pylist()]
-            kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-            columns = [[list(c) for c, _, _ in found], [list(c.values()) for c, _, _ in found], [h for _, h, _ in found], [w for _, _, w in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["toxic", "at", "n", "hits", "words"])
-
-    found = rows.mapInArrow(count, "toxic boolean, at array<int>, n array<int>, hits long, words long").collect()
-    found.sort(key=lambda r: (r.toxic, r.words, r.hits, sorted(zip(r.at, r.n, strict=True))))
-    x = np.zeros((len(found), len(model.index)))
-    for i, r in enumerate(found):
-        x[i, r.at] = np.log1p(r.n)
+            found, hits = [], []
+            for text, fold in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found.append(model.counts(text, cache))
+                hits.append(sum(not graders[fold].isdisjoint(features_of(w)) for w in WORD.findall(text.lower())))
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
+            columns = [[list(f) for f in found], [list(f.values()) for f in found], hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], ["toxic", "at", "n", "hits"])
+
+    found = rows.mapInArrow(count, "toxic boolean, at array<int>, n array<int>, hits long").collect()
+    found.sort(key=lambda r: (r.toxic, r.hits, sorted(zip(r.at, r.n, strict=True))))
+    rows_of = np.repeat(np.arange(len(found)), [len(r.at) for r in found])
+    x = Sparse(rows_of, np.array([k for r in found for k in r.at], np.int64), np.log1p(np.array([k for r in found for k in r.n], np.float64)), (len(found), len(model.index)))
     toxic = np.array([r.toxic for r in found])
     hits = np.array([r.hits for r in found])
     cuts = np.quantile(hits[toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
@@ -196,7 +231,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         wordbpe.release()
         for batch in batches:
             for part in common.slices(batch):
-                above = [model.probabilities(model.counts(t.decode(), cache)[0]) for t in common.texts_of(part.column(1))]
+                above = [model.probabilities(model.counts(t.decode(), cache)) for t in common.texts_of(part.column(1))]
                 severity = [math.fsum(p) for p in above]
                 each = [np.diff([-1.0, *(-x for x in p), 0.0]) for p in above]
                 columns = [part.column(0), pa.array(severity), pa.array([int(e.argmax()) for e in each], pa.int32()), pa.array([p[0] for p in above]), pa.array([p[0] >= 0.5 for p in above])]
