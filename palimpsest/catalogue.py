@@ -556,20 +556,22 @@ PHONED = [
     (1, "+7 (495) 123-45-67", "US"), (2, "8 (495) 123-45-67", "RU"), (3, "call (212) 555-0199 now", "US"), (4, "tel 030 12345678", "DE"), (5, "order 123456789, stock 4567891, sku 998877 and 31337001", "IT"), (6, "order 123456789, sku 998877", "RU"),
     (7, "01 42 68 53 00", "FR"), (8, "020 7946 0958", "GB"), (9, "30 12345678", "DE"), (10, "6123 4567", "SG"), (11, "22 123 45 67", "PL"), (12, "600 123 456", "ES"), (13, "06 12345678 and 0612345678", "IT"), (14, "12.05.2007", "RU"), (15, "011 7 495 1234567", "US"),
     (16, "8 017 123-45-67", "BY"), (17, "044 123 45 67", "UA"), (18, "044 123 45 67", "CH"), (19, "0412 345 678", "AU"), (20, "98765 43210", "IN"), (21, "138 0013 8000", "CN"), (22, "090-1234-5678", "JP"), (23, "11 91234-5678", "BR"), (24, "0532 123 45 67", "TR"), (25, "70 12 34 56", "DK"),
+    (26, "7 495 123 45 67", "US"), (27, "(812) 555-01-99", "RU,US"), (28, "(812) 555-01-99", "US,RU"), (29, "+7 812 555 01 99 and 8 812 555 01 99", "RU"), (30, "+74951234567 on 12.05.2007", "US,DE"),
 ]
 NUMBERS = [
     (1, "+74951234567", "+7 495 123-45-67"), (2, "+74951234567", "+7 495 123-45-67"), (3, "+12125550199", "+1 212-555-0199"), (4, "+493012345678", "+49 30 12345678"), (7, "+33142685300", "+33 1 42 68 53 00"), (9, "+493012345678", "+49 30 12345678"), (8, "+442079460958", "+44 20 7946 0958"),
     (10, "+6561234567", "+65 6123 4567"), (11, "+48221234567", "+48 22 123 45 67"), (12, "+34600123456", "+34 600 12 34 56"), (13, "+390612345678", "+39 06 1234 5678"), (15, "+74951234567", "+7 495 123-45-67"), (16, "+375171234567", "+375 17 123-45-67"),
     (17, "+380441234567", "+380 44 123 4567"), (18, "+41441234567", "+41 44 123 45 67"), (19, "+61412345678", "+61 412 345 678"), (20, "+919876543210", "+91 98765 43210"), (21, "+8613800138000", "+86 138 0013 8000"), (22, "+819012345678", "+81 90-1234-5678"),
     (23, "+5511912345678", "+55 11 91234-5678"), (24, "+905321234567", "+90 532 123 45 67"), (25, "+4570123456", "+45 70 12 34 56"),
+    (27, "+78125550199", "+7 812 555-01-99"), (28, "+18125550199", "+1 812-555-0199"), (29, "+78125550199", "+7 812 555-01-99"), (30, "+74951234567", "+7 495 123-45-67"),
 ]
 
 
 @query(f"SELECT id, value, value_human FROM {values(NUMBERS, 'id, value, value_human')}")
 def phone_cases(spark, d):
-    """Numbers as they are written in many regions, and digits that are none."""
+    """Numbers as they are written in many regions, the first of several to claim a span, and digits that are none."""
     rows = spark.createDataFrame(PHONED, "id int, t string, region string")
-    found = rows.select("id", F.explode(contacts.page_contacts("t", F.array("region"))).alias("c")).select("id", "c.value")
+    found = rows.select("id", F.explode(contacts.page_contacts("t", F.split("region", ","))).alias("c")).select("id", "c.value")
     return found.select("id", "value", contacts.human_phone("value").alias("value_human"))
 
 

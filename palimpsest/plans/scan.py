@@ -117,7 +117,7 @@ def _once(captures, source: Source, domain, plan, *, min_score, well_known, extr
     spark, notes, failed = captures.sparkSession, [], False
     left = lambda: None if plan.unlimited else max(0.0, plan.deadline - time.monotonic())
     index = candidates(captures, domain, plan, single_url=single_url, **limits).persist()
-    kept = []
+    passing = []  # what isn't needed once the waves are done
     try:
         budget = min((x for x in (index_seconds, None if plan.unlimited else planner.index_budget(plan.timeout_seconds), left()) if x is not None), default=None)
         try:
@@ -133,11 +133,12 @@ def _once(captures, source: Source, domain, plan, *, min_score, well_known, extr
         if single_url is None and should_probe(plan, not found, well_known):
             own = C.matching(captures, domain)
             base = f"http://{domain}"
-            probed = C.nearest(own, C.probes(captures, base, extra=extra_paths))
-            considered += probed.count()
-            chosen = C.with_probes(chosen, probed, bound)
+            answered = C.nearest(own, C.probes(captures, base, extra=extra_paths)).persist()
+            passing.append(answered)
+            considered += C.needed(answered).count()  # the others bring the same captures
+            chosen = C.with_probes(chosen, answered, bound)
         chosen = chosen.select("timestamp", "original").persist()
-        kept.append(chosen)
+        passing.append(chosen)
         numbered, waves = in_waves(chosen, bound is not None)
         seen, wrong, totals, late, interrupted = None, None, [0, 0, 0, 0], False, False
 
@@ -146,7 +147,6 @@ def _once(captures, source: Source, domain, plan, *, min_score, well_known, extr
             try:
                 counts = timeline.scan_counts(read).first()
                 here, bad = contacts.sightings(read, regions).persist(), contacts.errors(read).persist()
-                kept.extend((here, bad))
                 here.count(), bad.count()
                 return here, bad, counts
             finally:
@@ -173,8 +173,8 @@ def _once(captures, source: Source, domain, plan, *, min_score, well_known, extr
         return Scan(domain, plan, seen, considered, fetched - errors, notes, wrong, hits, misses, time.monotonic() - began, late, interrupted, cut, failed, single_url=single_url)
     finally:
         index.unpersist()
-        if kept:
-            kept[0].unpersist()
+        for df in passing:
+            df.unpersist()
 
 
 def scan(captures: DataFrame, pages: DataFrame | None, domain: str, *, timeout: float | None = None, mode: str | None = None, workers: int = 4, rate: float = 4.0, force_all: bool = False,
