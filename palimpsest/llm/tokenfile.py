@@ -25,7 +25,7 @@ from . import common, wordbpe
 LIMIT = 18
 STEP = 64
 BLOCK_TOKENS = 1 << 18
-HEAD = 64
+HEAD = 16
 BLOCKS = "part int, block int, inside long, n_docs int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, bits binary"
 
 
