@@ -29,31 +29,74 @@ SHINGLE = 3
 SEED = 42
 SMALL = 48
 BLOCK = 4096
+TEXT_BYTES = 2 << 20
 #: Distinct fingerprints of a key in one task.
 HOT = 1 << 20
 #: Rows of a side that is sent to all tasks: 8 bytes each.
 SENT = 1 << 20
 
 
-def fingerprint(text: bytes) -> int:
-    """Unsigned fingerprint of a UTF-8 text."""
+# The constants of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Shingles whose bits are counted at a time.
+CHUNK = 1 << 16
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(raw: bytes, start: np.ndarray, size: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many pieces of a buffer; those of less than 32 bytes all together, the others by the library."""
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(size + 1) - size - 1
-    end = (start + size)[SHINGLE - 1 :].tolist()
-    digest, n, counts = xxhash.xxh64_intdigest, len(end), np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end, strict=False)), np.uint64, n)
-    for i in range(0, n, 8192):
-        part = hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n).view(">u8")[0])
+    words = np.frombuffer(raw + bytes(-len(raw) % 8 + 16), "<u8")
+
+    def load(at: np.ndarray) -> np.ndarray:
+        word, off = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (words[word] >> off) | ((words[word + 1] << np.uint64(1)) << (np.uint64(63) - off))
+
+    acc = size.astype(np.uint64) + np.uint64(seed) + P5
+    for k in range(3):
+        on = np.flatnonzero((size >= 8 * (k + 1)) & (size < 32))
+        piece = _turned(load(start[on] + 8 * k) * P2, 31) * P1
+        acc[on] = _turned(acc[on] ^ piece, 27) * P1 + P4
+    at = start + (size >> 3 << 3)
+    on = np.flatnonzero(size & 4)
+    acc[on] = _turned(acc[on] ^ ((load(at[on]) & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    at[on] += 4
+    for k in range(3):
+        on = np.flatnonzero((size & 3) > k)
+        acc[on] = _turned(acc[on] ^ ((load(at[on] + k) & np.uint64(255)) * P5), 11) * P1
+    acc = (acc ^ (acc >> np.uint64(33))) * P2
+    acc = (acc ^ (acc >> np.uint64(29))) * P3
+    acc ^= acc >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        acc[long] = [xxhash.xxh64_intdigest(raw[a : a + n], seed) for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+    return acc
+
+
+def fingerprints_of(texts: list[bytes]) -> np.ndarray:
+    """Unsigned fingerprints of UTF-8 texts."""
+    raw = b"\n".join([b" ".join(t.lower().split()) for t in texts]) + b"\n"
+    flat = np.frombuffer(raw, np.uint8)
+    end = np.flatnonzero((flat == 32) | (flat == 10))  # of each word; of an empty text too
+    start = np.concatenate([[0], end[:-1] + 1])
+    text = np.concatenate([[0], np.cumsum(flat[end] == 10)[:-1]])
+    words = np.bincount(text[end > start], minlength=len(texts))
+    first = np.searchsorted(text, np.arange(len(texts)))
+    shingles = np.where(words >= SHINGLE, words - SHINGLE + 1, np.minimum(words, 1))
+    bounds = np.concatenate([[0], np.cumsum(shingles)])
+    at = np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], shingles)
+    last = at + np.repeat(np.clip(words, 1, SHINGLE) - 1, shingles)
+    h = xxh64(raw, start[at], end[last] - start[at]).astype(">u8").view(np.uint8).reshape(-1, 8)
+    counts, of = np.zeros((len(texts), 64), np.int64), np.repeat(np.arange(len(texts)), shingles)
+    for i in range(0, len(h), CHUNK):
+        which = of[i : i + CHUNK]
+        new = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        counts[which[new]] += np.add.reduceat(np.unpackbits(h[i : i + CHUNK], axis=1), new, axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > shingles[:, None], axis=1).view(">u8").astype(np.uint64).reshape(-1)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -64,9 +107,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         wordbpe.release()
         for batch in batches:
-            for part in common.slices(batch):
-                fp = np.array([fingerprint(t) for t in common.texts_of(part.column(1))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+            for part in common.slices_of_bytes(batch, 1, TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(common.texts_of(part.column(1))).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), common.text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
 

@@ -131,6 +131,25 @@ def check_simhash(docs):
     assert got == want
 
 
+def test_many_hashes_at_once_are_xxh64():
+    r = random.Random(11)
+    raw = bytes(r.randrange(256) for _ in range(5000))
+    start = np.array([r.randrange(4900) for _ in range(3000)])
+    size = np.array([r.choice((0, 1, 3, 4, 7, 8, 12, 15, 16, 23, 24, 28, 31, 32, 33, 64, 90, r.randrange(100))) for _ in range(3000)])
+    got = simhash.xxh64(raw, start, np.minimum(size, 5000 - start))
+    assert got.tolist() == [xxhash.xxh64_intdigest(raw[a : a + n], 42) for a, n in zip(start, size, strict=True)]
+
+
+def test_fingerprints_of_odd_texts(monkeypatch):
+    r = random.Random(12)
+    texts = ["", " ", "A", "a b", "A b C", "a  b\tc\nd", "É é Ünï 日本 x", "\x0b\x0c\r", "w" * 40 + " x y z", "a\u00a0b c d"] + [" ".join(r.choice(["ab", "Cd", "éf", "x" * r.randrange(1, 40)]) for _ in range(r.randrange(300))) for _ in range(60)]
+    want = [brute_fingerprint(t) for t in texts]
+    for chunk in (1 << 16, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == want
+    assert simhash.fingerprints_of([b""]).tolist() == [0]
+
+
 def test_simhash(spark, sf, tricky, nothing):
     check_simhash(spark.read.parquet(f"{sf}/documents.parquet"))
     check_simhash(tricky)
