@@ -68,10 +68,39 @@ class Model:
                 found[k] = found.get(k, 0) + 1
         return found
 
-    def probabilities(self, counts: dict[int, int]) -> list[float]:
-        """P(grade > k) for each threshold k."""
-        score = math.fsum(float(self.weights[k]) * math.log1p(n) for k, n in counts.items())
-        return [1 / (1 + math.exp(min(700.0, float(t) - score))) for t in self.theta]
+    def columns(self, word: bytes, cache: dict) -> tuple[int, ...]:
+        """The columns of a run without white space, as often as its words have their features."""
+        at = cache.get(word)
+        if at is None:
+            if len(cache) >= CACHE:
+                cache.clear()
+            at = cache[word] = tuple(self.index[f] for w in WORD.findall(word.decode().lower()) for f in features_of(w) if f in self.index)
+        return at
+
+    def above(self, texts, cache: dict) -> np.ndarray:
+        """P(grade > k) of each text of an Arrow string column, by threshold. Each distinct run without white space is looked at once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        # A word of Latin letters that begins like no feature has none; the others are looked up.
+        low = pc.utf8_lower(coded.dictionary)
+        starts = pa.array(sorted({f[: PREFIXES[0]] for f in self.index if len(f.rstrip("$")) >= PREFIXES[0]}), pa.string())
+        plain = pc.and_(pc.match_substring_regex(low, r"^[0-9_a-zß-öø-ÿ]{4,}[^\p{L}\p{N}_]*$"), pc.invert(pc.is_in(pc.utf8_slice_codeunits(low, 0, PREFIXES[0]), starts)))
+        asked = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        each = [self.columns(w, cache) for w in coded.dictionary.take(pa.array(asked)).cast(pa.binary()).to_pylist()]
+        size = np.zeros(len(low), np.int64)
+        size[asked] = list(map(len, each))
+        number, score = coded.indices.to_numpy(), np.zeros(len(texts))
+        place = np.flatnonzero(size[number])
+        if len(place):
+            doc = np.searchsorted(split.offsets.to_numpy(), place, side="right") - 1
+            flat, at = np.array([k for c in each for k in c], np.int64), np.concatenate([[0], np.cumsum(size)])
+            column, _ = wordbpe.gather(flat, at, number[place])
+            both, n = np.unique(np.repeat(doc, size[number[place]]) * len(self.weights) + column, return_counts=True)
+            score = np.bincount(both // len(self.weights), np.log1p(n) * self.weights[both % len(self.weights)], len(texts))
+        return 1 / (1 + np.exp(np.minimum(700.0, self.theta - score[:, None])))
 
 
 @dataclass
@@ -230,11 +259,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         cache: dict = {}
         wordbpe.release()
         for batch in batches:
-            for part in common.slices(batch):
-                above = [model.probabilities(model.counts(t.decode(), cache)) for t in common.texts_of(part.column(1))]
-                severity = [math.fsum(p) for p in above]
-                each = [np.diff([-1.0, *(-x for x in p), 0.0]) for p in above]
-                columns = [part.column(0), pa.array(severity), pa.array([int(e.argmax()) for e in each], pa.int32()), pa.array([p[0] for p in above]), pa.array([p[0] >= 0.5 for p in above])]
+            for part in common.slices_of_bytes(batch, 1):
+                p = model.above(part.column(1), cache)
+                each = np.diff(np.hstack([np.full((len(p), 1), -1.0), -p, np.zeros((len(p), 1))]), axis=1)
+                columns = [part.column(0), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)]
                 yield pa.RecordBatch.from_arrays([*columns, *([part.column(2)] if carry else [])], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic", *carry])
 
     kind = T.StructType.fromDDL("doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean")
