@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars, each round written to shared scratch space."""
+"""Connected components: tasks shrink their edges to stars; if few are left, one task joins them, else large and small stars alternate, each round written to shared scratch space."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Nodes that a task keeps at a time.
-NODES = 1_000_000
+#: Nodes that a task keeps at a time, and edges that one task joins at the end.
+NODES, TOGETHER = 1_000_000, 200_000
 
 
 def _spanning(edges: DataFrame) -> DataFrame:
@@ -52,9 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     stars = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     spark, begin = edges.sparkSession, common.mark()
-    stars = common.materialise(_spanning(stars).distinct(), "edges")
-    before = None
-    while True:
+    stars, before = common.materialise(_spanning(stars).distinct(), "edges"), None
+    few = stars.count() <= TOGETHER
+    if few:
+        stars = common.materialise(_spanning(stars.coalesce(1)), "edges")
+    while not few:
         common.drop_since(spark, begin)  # the rounds before this one
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

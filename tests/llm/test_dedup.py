@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -81,6 +82,13 @@ def test_filters_let_members_through(spark, tmp_path):
     assert index.lookup(index.may_repeat(probe).where("__in")).where("group_size = 2").count() == 100
 
 
+def test_filters_have_many_files(spark, tmp_path):
+    index = exact.LsmIndex(spark, str(tmp_path / "i"))
+    index.flush(spark.range(200_000).select(F.col("id").alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("place")))
+    path, bits = index.members[0]
+    assert bits == 1 << 22 and spark.read.parquet(path).count() == bits // exact.PAGE_BITS
+
+
 def test_unique_texts_do_not_move(spark, sf, monkeypatch):
     seen = {}
     monkeypatch.setattr(exact.common, "materialise", lambda df, label, f=exact.common.materialise: seen.setdefault(label, f(df, label)))
@@ -215,7 +223,9 @@ def test_pigeonring_loses_no_pair():
         assert parts[0] == parts[1] == 0 and sum(p > 0 for p in parts[2:]) <= 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [graph.TOGETHER, 0])
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "TOGETHER", together)
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)]
     label = {x: x for p in pairs for x in p}
