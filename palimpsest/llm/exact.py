@@ -66,7 +66,7 @@ class LsmIndex:
             bits *= 2
         path = f"{self.path}/filter-{uuid.uuid4().hex}"
         made = rows.groupBy(F.bitmap_bucket_number(_bit(bits)).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(bits))).alias("bitmap"))
-        made.coalesce(1).write.parquet(path)
+        made.write.parquet(path)
         return path, bits
 
     def flush(self, rows: DataFrame) -> None:
