@@ -15,7 +15,6 @@ Nulls: a null text is empty; a null doc_id is returned as null. Rows that repeat
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
