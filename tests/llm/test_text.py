@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,18 @@ def test_ordinal_fit_orders_its_thresholds():
     assert (np.diff(theta) > 0).all() and w[0] > 1.5 * w[1] > 0 and 0 <= w[2] < 0.1 * w[0]
 
 
+def test_scores_are_those_of_single_texts():
+    words = "vile rot grim good fine day ok".split()
+    rng = np.random.default_rng(4)
+    model = toxicity.Model({f: i for i, f in enumerate(("vile$", "rot$", "grim", "grim$", "é$"))}, np.array([2.0, 1.5, 0.7, 0.2, 1.0]), np.array([0.5, 2.0, 3.0]))
+    texts = ["", None, "VILE, vile; rot! grimmer", "é\u00a0rot\u2003vile", " \t "] + [" ".join(rng.choice(words, 30)) for _ in range(20)]
+    got = model.above(pa.array(texts), {})
+    for t, p in zip(texts, got, strict=True):
+        counts = model.counts(t or "", {})
+        score = sum(model.weights[k] * np.log1p(n) for k, n in counts.items())
+        assert np.allclose(p, 1 / (1 + np.exp(model.theta - score)))
+
+
 def test_toxicity_on_held_out_labels(spark):
     """On all labels that weren't fitted on, junk texts included, of which about every other toxic one holds no toxic word."""
     d = "/root/testdata/sf0.1"
