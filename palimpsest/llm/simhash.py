@@ -263,3 +263,70 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = common.materialise(gone.select(F.col("doc_id").alias(name)), "gone")
     few = gone.count() <= SENT
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+
+
+# --- The same in DuckDB's dialect ----------------------------------------------------------------------------------------
+
+_WHOLE = 1 << 64
+
+
+def _wide(x) -> str:
+    return f"({x})::UHUGEINT"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body, with a name for a value."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _times(x: str, p) -> str:
+    return f"(({x}) * {_wide(int(p))} % {_wide(_WHOLE)})"
+
+
+def _turn_sql(name: str, value: str, n: int) -> str:
+    return _let(name, value, f"(({name} * {_wide(1 << n)}) % {_wide(_WHOLE)} + {name} // {_wide(1 << (64 - n))})")
+
+
+def _round_sql(lane: str, value: str, name: str) -> str:
+    return _times(_turn_sql(f"r{name}", f"(({lane}) + {_times(value, P2)}) % {_wide(_WHOLE)}", 31), P1)
+
+
+def _number_sql(n: int, at: str) -> str:
+    """n bytes of the list b of hex pairs, from `at` on, as a number; the first is the lowest."""
+    return "('0x' || " + " || ".join(f"b[{at} + {i}]" for i in range(n, 0, -1)) + ")::UBIGINT::UHUGEINT"
+
+
+def _xxh64_sql() -> str:
+    """XXH64 of the n bytes whose hex pairs are the list b."""
+    lanes, seed = "pqrs", SEED
+    start = {"p": (seed + int(P1) + int(P2)) % _WHOLE, "q": (seed + int(P2)) % _WHOLE, "r": seed, "s": (seed - int(P1)) % _WHOLE}
+    stripe = ", ".join(f"'{x}': {_round_sql(f'v.{x}', _number_sql(8, f'(t * 32 + {8 * i})'), x)}" for i, x in enumerate(lanes))
+    striped = f"list_reduce(range(n // 32), lambda v, t: {{{stripe}}}, {{{', '.join(f"'{x}': {_wide(start[x])}" for x in lanes)}}})"
+    long = f"({' + '.join(_turn_sql(f'm{x}', f'v.{x}', k) for x, k in zip(lanes, (1, 7, 12, 18), strict=True))}) % {_wide(_WHOLE)}"
+    for x in lanes:
+        long = _let(f"z{x}", long, f"(({_times(f'xor(z{x}, {_round_sql(_wide(0), f"v.{x}", f"y{x}")})', P1)} + {_wide(int(P4))}) % {_wide(_WHOLE)})")
+    first = f"(CASE WHEN n >= 32 THEN {_let('v', striped, long)} ELSE {_wide(seed + int(P5))} END + n::UHUGEINT) % {_wide(_WHOLE)}"
+    eight = _round_sql(_wide(0), _number_sql(8, "(n - n % 32 + t * 8)"), "w")
+    eights = f"list_reduce(range(n % 32 // 8), lambda a, t: ({_times(_turn_sql('e', f'xor(a, {eight})', 27), P1)} + {_wide(int(P4))}) % {_wide(_WHOLE)}, {first})"
+    four = _times(_number_sql(4, "(n - n % 8)"), P1)
+    fours = _let("f", eights, f"CASE WHEN n % 8 >= 4 THEN ({_times(_turn_sql('g', f'xor(f, {four})', 23), P2)} + {_wide(int(P3))}) % {_wide(_WHOLE)} ELSE f END")
+    one = _times(_number_sql(1, "(n - n % 4 + t)"), P5)
+    made = f"list_reduce(range(n % 4), lambda a, t: {_times(_turn_sql('o', f'xor(a, {one})', 11), P1)}, {fours})"
+    for name, n, p in (("i", 33, P2), ("j", 29, P3)):
+        made = _let(name, made, _times(f"xor({name}, {name} // {_wide(1 << n)})", p))
+    return f"({_let('x', made, f'xor(x, x // {_wide(1 << 32)})')})::UBIGINT"
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k}::UBIGINT ELSE 0::UBIGINT END" for k in range(64))
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS line, doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT line, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS shingle FROM d),
+  hashed AS (SELECT shingle, {_xxh64_sql()} AS h FROM (SELECT shingle, strlen(shingle) AS n, string_split(rtrim(regexp_replace(hex(encode(shingle)), '(..)', '\1,', 'g'), ','), ',') AS b FROM (SELECT DISTINCT shingle FROM s))),
+  prints AS (SELECT line, {_BITS} AS fp FROM s JOIN hashed USING (shingle) GROUP BY line),
+  all_of_them AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN prints USING (line)),
+  kinds AS (SELECT fp, min(doc_id) AS least FROM all_of_them GROUP BY fp),
+  links AS (SELECT a.fp AS a, b.fp AS b FROM kinds a JOIN kinds b ON bit_count((xor(a.fp, b.fp) >> 32)::BIGINT) + bit_count((xor(a.fp, b.fp) & 4294967295)::BIGINT) <= {DISTANCE}),
+  reached AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+  classes AS (SELECT a AS fp, min(least) AS component_id FROM reached JOIN kinds ON kinds.fp = reached.b GROUP BY a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM all_of_them JOIN classes USING (fp)
+"""

@@ -169,6 +169,12 @@ def test_simhash(spark, sf, tricky, nothing):
     assert kept.columns == tricky.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id is null").count() == 2
 
 
+def test_simhash_matches_sql(spark, sf):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    answer = duckdb.sql(simhash.ORACLE)
+    assert sorted(map(tuple, simhash.op8_simhash_pigeonring(spark, sf).select(*answer.columns).collect())) == sorted(answer.fetchall())
+
+
 def test_hot_keys_are_dealt_on(spark, tricky, monkeypatch):
     base = prose(6, 500).split()
     near = [full(i, " ".join(w if random.Random(i * 1000 + k).random() > 0.006 else "changed" for k, w in enumerate(base))) for i in range(150)]
