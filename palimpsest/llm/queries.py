@@ -14,4 +14,4 @@ QUERIES = {
     "op9_zstd_secrets": secrets.op9_zstd_secrets,
     "op10_histogram_shards": sharding.op10_histogram_shards,
 }
-ORACLES = {"op7_exact_dedup": exact.ORACLE}
+ORACLES = {"op7_exact_dedup": exact.ORACLE, "op8_simhash_pigeonring": simhash.ORACLE, "op10_histogram_shards": sharding.ORACLE}

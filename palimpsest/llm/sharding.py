@@ -121,9 +121,29 @@ def shard(rows: DataFrame, shards: int, ranges: int | None = None, tolerance: fl
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards of near equal bytes, in doc_id order."""
+    """All documents in 8 shards in doc_id order, cut as near to equal bytes as whole rows allow."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     text = common.text_of()
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("place"))
     rows = common.materialise(rows.select("doc_id", "size", "text_crc32", sort_key().alias("key")), "shard-keys")
-    return shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard(rows, 8, tolerance=0.0).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    """What each byte adds to a CRC-32, from its polynomial."""
+    found = list(range(256))
+    for _ in range(8):
+        found = [c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1 for c in found]
+    return found
+
+
+#: CRC-32 of a text, byte by byte over its hex digits.
+CRC_SQL = f"""xor(4294967295::BIGINT, list_reduce(list_transform(string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','), ','), lambda h: CASE WHEN h = '' THEN -1 ELSE ('0x' || h)::BIGINT END),
+  lambda c, b: CASE WHEN b < 0 THEN c ELSE xor(c >> 8, (CAST({_crc_table()} AS BIGINT[]))[(xor(c, b) & 255) + 1]) END, 4294967295::BIGINT))"""
+#: For tables in which no two rows share a doc_id.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, {CRC_SQL} AS text_crc32 FROM documents),
+  o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS n, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d),
+  c AS (SELECT k, arg_min(n, abs(8 * upto - k * total) * 10000000000 + n) AS below FROM (SELECT n, upto, total FROM o UNION ALL SELECT DISTINCT 0, 0, total FROM o), (SELECT unnest(range(1, 8)) AS k) GROUP BY k)
+SELECT doc_id, cast(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, cast((SELECT count(*) FROM c WHERE below < n) AS INT) AS shard, cast(n - 1 - coalesce((SELECT max(below) FROM c WHERE below < n), 0) AS BIGINT) AS slot, cast(NULL AS INT) AS grown_shard FROM o
+"""

@@ -5,6 +5,7 @@ import re
 import time
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -422,6 +423,12 @@ def test_shards_against_plain_cuts(spark, sf):
     assert [list(range(n)) for n in got.groupby("shard").size()] == [s["slot"].tolist() for _, s in got.groupby("shard")]
 
 
+def test_shards_match_sql(spark, sf):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    answer = duckdb.sql(sharding.ORACLE)
+    assert sorted(map(tuple, sharding.op10_histogram_shards(spark, sf).select(*answer.columns).collect())) == sorted(answer.fetchall())
+
+
 def test_one_id_fills_many_shards(spark):
     hot = spark.createDataFrame([(5 if i % 3 else i, f"text {i % 7}") for i in range(900)], "doc_id long, text string")
     sizes = sharding.shard(shard_rows(hot), 8, ranges=1).groupBy("shard").agg(F.sum("size")).collect()
