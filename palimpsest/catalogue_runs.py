@@ -284,7 +284,7 @@ def plans_of_grid():
         yield (p, e, t, a), planner.make(pages=p, exact=lambda e=e: e, timeout=t, force_all=bool(a), latency=0.5, now=lambda: 0.0)
 
 
-@query(f"""SELECT p, e, t, a, fits AS capacity, estimated, counted AS precise, narrow AS filtered, CASE WHEN narrow THEN greatest(5 * fits, 2000) END AS index_limit, counted AND estimated = 0 AS nothing,
+@query(f"""SELECT p, e, t, a, fits AS capacity, cast(estimated AS BIGINT) AS estimated, counted AS precise, narrow AS filtered, CASE WHEN narrow THEN greatest(5 * fits, 2000) END AS index_limit, counted AND estimated = 0 AS nothing,
   CASE WHEN t <= 0 THEN 'exhaustive' WHEN narrow AND t >= 900 THEN 'deep' WHEN narrow THEN 'default' ELSE 'all' END AS mode, greatest(30.0, 0.3 * t)::DOUBLE AS index_seconds FROM {BRANCHED}""")
 def plans(spark, d):
     """A plan for every size, time and wish."""
