@@ -3,7 +3,7 @@
 Rows are ordered by (doc_id, hash of the text, place in the input): nulls first, and no two rows are alike, so
 that a doc_id which a third of all rows share is cut like any other range. Boundaries are found by counting:
 each round sends a few probe keys between the bounds known so far, every partition counts rows and bytes below
-each probe, and sums of those exact counts narrow the bounds, until each boundary is within tolerance or between
+each probe and notes the least and greatest key between two, and sums of those exact counts narrow the bounds, which are drawn in to keys that exist, until each boundary is within tolerance or between
 two neighbouring keys. What reaches the driver is one row per probe. Then rows move once, to the range they are in,
 and the counts give each row its gapless slot.
 
@@ -13,6 +13,8 @@ Other columns of the input are carried on, by any name; key and size must be the
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,24 +38,36 @@ def sort_key(doc_id="doc_id", text_hash="text_hash", place="place"):
     return F.concat(F.coalesce(ordered(doc_id), F.unhex(F.lit("0" * 16))), ordered(text_hash), ordered(place))
 
 
-def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and bytes with a key below each of the sorted probes."""
+def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+    """Rows and bytes with a key below each of the sorted probes, and the least and greatest key between neighbouring ones, by the number of probes not above."""
     edges = np.array([p.to_bytes(KEY_BYTES, "big") for p in probes], f"S{KEY_BYTES}")
 
     def count(batches):
         import pyarrow as pa
 
         rows, size = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+        ends: dict[int, tuple[bytes, bytes]] = {}
         for batch in batches:
-            at = np.searchsorted(edges, np.array(batch.column(0).to_pylist(), f"S{KEY_BYTES}"), side="right")
+            key = np.array(batch.column(0).to_pylist(), f"S{KEY_BYTES}")
+            at = np.searchsorted(edges, key, side="right")
             rows += np.bincount(at, minlength=len(rows))
             size += np.bincount(at, batch.column(1).to_numpy(zero_copy_only=False), minlength=len(rows)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(rows), pa.array(size)], ["at", "n", "size"])
-
-    found = keys.select("key", "size").mapInArrow(count, "at int, n long, size long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toPandas()
+            order = np.lexsort((key, at))
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            for k, low, high in zip(at[order[first]].tolist(), key[order[first]].tolist(), key[order[np.append(first[1:], len(order)) - 1]].tolist(), strict=True):
+                old = ends.get(k, (low, high))
+                ends[k] = min(low, old[0]), max(high, old[1])
+        held = sorted(ends)
+        # numpy drops zero bytes at the end of a key
+        column = lambda n: pa.array([ends[k][n].ljust(KEY_BYTES, b"\0") for k in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(rows[held]), pa.array(size[held]), column(0), column(1)], ["at", "n", "size", "low", "high"])
+
+    found = keys.select("key", "size").mapInArrow(count, "at int, n long, size long, low binary, high binary").groupBy("at")
+    found = found.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
     rows, size = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
-    rows[found["at"]], size[found["at"]] = found["n"], found["size"]
-    return np.cumsum(rows)[:-1], np.cumsum(size)[:-1]
+    for r in found:
+        rows[r["at"]], size[r["at"]] = r["n"], r["size"]
+    return np.cumsum(rows)[:-1], np.cumsum(size)[:-1], {r["at"]: (int.from_bytes(r["low"], "big"), int.from_bytes(r["high"], "big")) for r in found}
 
 
 def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[list[int], np.ndarray, int]:
@@ -80,7 +94,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE, probes:
                     ask.add(min(b - 1, max(a + 1, guess + (step if k % 2 else -step))))
                 ask.add((a + b) // 2)
         ask = sorted(ask)
-        rows, size = count_below(keys, ask)
+        rows, size, ends = count_below(keys, ask)
         for i, done in enumerate(found):
             if done is not None:
                 continue
@@ -89,6 +103,12 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE, probes:
                     low[i] = [key, n, s]
                 if s > wanted[i] and key < high[i][0]:
                     high[i] = [key, n, s]
+            # Draw the bounds in to the keys that there are between them.
+            between = ends.get(bisect_right(ask, low[i][0]))
+            if between and between[0] > low[i][0]:
+                low[i] = [between[0], *low[i][1:]]
+            if between and low[i][0] <= between[1] < high[i][0] - 1:
+                high[i] = [between[1] + 1, *high[i][1:]]
             best = min(low[i], high[i], key=lambda x: abs(x[2] - wanted[i]))
             if abs(best[2] - wanted[i]) <= near or high[i][1] - low[i][1] <= 1 or high[i][0] - low[i][0] <= 1:
                 found[i] = best
