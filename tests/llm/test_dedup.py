@@ -294,6 +294,45 @@ def test_variants_of_one_passage_are_all_reached(spark, tricky):
     assert not any((3 * n + 2, 3 * n) in found for n in range(40))
 
 
+def test_a_passage_is_linked_to_all_its_variants(spark, tricky):
+    r, docs, links = random.Random(12), [], set()
+    for n in range(12):  # ten variants, each with a word changed, put in or left out elsewhere, stand before the passage that all of them are like
+        words, whole = prose(50000 + n, (56, 60, 80, 110)[n % 4]).split(), 11 * n + 10
+        for k, at in enumerate(r.sample(range(8, len(words) - 8), 10)):
+            variant = words[:at] + ([f"other{n}"] if k % 4 < 3 else []) + words[at + (k % 4 != 2) :]
+            docs.append(full(11 * n + k, f"{prose(60000 + 11 * n + k, 60)} {' '.join(variant)} {prose(80000 + 11 * n + k, 60)}"))
+            links.add((whole, 11 * n + k))
+        docs.append(full(whole, f"{prose(60000 + whole, 60)} {' '.join(words)} {prose(80000 + whole, 60)}"))
+    found = {(x.doc_id, x.source_doc_id) for x in substrings.passages(spark.createDataFrame(docs, tricky.schema)).collect()}
+    assert len(links & found) >= 0.97 * len(links), len(links - found)
+    assert all(a // 11 == b // 11 for a, b in found)
+
+
+def dealt(texts):
+    """Windows of the first hash as they reach a task: columns of WINDOW but `whole`, sorted."""
+    h, first = substrings.shingles(pa.array(texts))
+    l, c, r = substrings.compact_windows(h, first, 0)
+    doc = np.searchsorted(first, c, side="right") - 1
+    zero = np.zeros(len(c), np.int64)
+    columns = [h[c].view(np.int64), doc, (c - first[doc]).astype(np.int32), ((c - l) << 15 | (r - c)).astype(np.int32), zero.astype(np.int32), zero, *substrings._sides(h, c, 0)]
+    order = np.lexsort((columns[2], doc, columns[0]))
+    return [x[order] for x in columns]
+
+
+def test_variants_in_chunks_and_copies_of_variants():
+    words = prose(93, 70).split()
+    edited = " ".join("other" if i == 30 else w for i, w in enumerate(words))
+    columns = dealt([f"{prose(94000 + n, 60)} {' '.join(words) if n % 2 else edited} {prose(95000 + n, 60)}" for n in range(200)])
+    once = sorted(p for x in substrings.Variants().link(columns, last=True) for p in zip(*x, strict=True))
+    linker, apart = substrings.Variants(), []
+    for i in range(0, len(columns[0]), 60):
+        for x in linker.link([x[i : i + 60] for x in columns], last=i + 60 >= len(columns[0])):
+            apart += zip(*x, strict=True)
+    assert sorted(apart) == once
+    assert {b for _, b, *_ in once} >= set(range(1, 200))
+    assert len({(a, b) for a, b, *_ in once if (a + b) % 2}) < 100 * 100 / 10  # copies of one variant aren't each linked to those of the other
+
+
 def test_a_quoting_document_hides_no_copies(spark, tricky):
     docs = []
     for n in range(60):  # the first holds the passage in pieces of 48 words, the other two hold it whole
