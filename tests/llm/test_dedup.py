@@ -333,6 +333,43 @@ def test_variants_in_chunks_and_copies_of_variants():
     assert len({(a, b) for a, b, *_ in once if (a + b) % 2}) < 100 * 100 / 10  # copies of one variant aren't each linked to those of the other
 
 
+def test_links_of_many_variants_are_in_proportion_to_documents(spark, tricky, tmp_path):
+    r, n, words = random.Random(14), 240, prose(97, 80).split()
+    texts = [" ".join("other" + str(k) if i == at else w for i, w in enumerate(words)) for k in range(n) for at in [r.randrange(80)]]
+    docs = spark.createDataFrame([full(k, f"{prose(96000 + k, 60)} {t} {prose(98000 + k, 60)}") for k, t in enumerate(texts)], tricky.schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = substrings.op6_compact_window_passages(spark, str(tmp_path)).collect()
+    every = {(x.doc_id, x.source_doc_id) for x in substrings.passages(docs).collect()}
+    assert len(every) > n * n / 4 and len(rows) < 32 * n, (len(every), len(rows))
+    assert {x.doc_id for x in rows} == set(range(1, n)) and {x.class_id for x in rows} == {0}
+    for x in rows:
+        assert x.source_doc_id < x.doc_id and x.similarity >= 0.8 and x.end_word - x.start_word >= 50
+
+
+def test_a_forest_joins_what_all_links_join():
+    rng, n = np.random.default_rng(15), 80
+    before, after = rng.integers(0, substrings.LEAST, 3000), rng.integers(0, substrings.LEAST, 3000)
+    j = rng.integers(1, n, 3000)
+    links = [x[before + after + 1 >= substrings.LEAST] for x in (rng.integers(0, j), j, before, after)]
+    forest, kept = substrings.Forest(n), []
+    for low in range(0, len(links[0]), 200):
+        part = [x[low : low + 200] for x in links]
+        kept += (low + np.flatnonzero(forest.kept(*part))).tolist()
+    assert len(kept) < len(links[0]) / 2
+
+    def joined(rows, k):
+        label = list(range(n))
+        for a, b, x, y in zip(*(v[rows].tolist() for v in links), strict=True):
+            if substrings.LEAST - 1 - y <= k <= x and label[a] != label[b]:
+                one, two = label[a], label[b]
+                label = [min(one, two) if v in (one, two) else v for v in label]
+        return label
+
+    for k in range(substrings.LEAST):
+        want = joined(np.arange(len(links[0])), k)
+        assert joined(np.array(kept), k) == want == forest.label[k].tolist()
+
+
 def test_a_quoting_document_hides_no_copies(spark, tricky):
     docs = []
     for n in range(60):  # the first holds the passage in pieces of 48 words, the other two hold it whole
