@@ -132,3 +132,8 @@ def test_scores(spark):
 def test_prose_before_digits_is_no_label(text, kept):
     assert (markup.blanked(text) == text) is kept
     assert markup.blanked(text).endswith(" x")
+
+
+@pytest.mark.parametrize("after", ["", " 53.121.55.90", " 4913187196670932 53.121.55.90", " 4913187196670932 53.121.55.90 4080166431094600"])
+def test_number_before_other_digits(after):
+    assert ("+18365559331", "+1 (836) 555-9331") in phones.phones(f"a +1 (836) 555-9331{after} b", ())
