@@ -137,3 +137,14 @@ def test_prose_before_digits_is_no_label(text, kept):
 @pytest.mark.parametrize("after", ["", " 53.121.55.90", " 4913187196670932 53.121.55.90", " 4913187196670932 53.121.55.90 4080166431094600"])
 def test_number_before_other_digits(after):
     assert ("+18365559331", "+1 (836) 555-9331") in phones.phones(f"a +1 (836) 555-9331{after} b", ())
+
+
+@pytest.mark.parametrize(
+    ("text", "region", "found"),
+    [
+        ("49.242.246.194", "DE", [("+49242246194", "49.242.246.194")]), ("49.154.250.187", "DE", []), ("499288", "DE", []), ("033 76117893", "DE", [("+493376117893", "033 76117893")]),
+        ("33.76.117.89", "FR", []), ("33 1 42 68 53 00", "FR", [("+33142685300", "33 1 42 68 53 00")]), ("+1 (978) 555-1", "US", []), ("+1 (978) 555-1234", "US", [("+19785551234", "+1 (978) 555-1234")]),
+    ],
+)
+def test_digits_without_prefix_need_the_calling_code(text, region, found):
+    assert phones.phones(text, (region,)) == found
