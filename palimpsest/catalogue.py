@@ -434,9 +434,9 @@ SIGHTED = f"""(SELECT DISTINCT kind, value, raw, '{V.ARCHIVE}' || {DOC_STAMP.for
   FROM (SELECT *, 'http://d.example/' || doc_id AS source_url FROM {BOTH_SQL}))"""
 
 
-def made_sightings(spark: SparkSession, d: str) -> DataFrame:
+def made_sightings(spark: SparkSession, d: str, regions=()) -> DataFrame:
     docs = table(spark, d, "documents").select(F.expr(DOC_STAMP.format(s="string")).alias("timestamp"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("original"), F.col("text").alias("content"))
-    return contacts.sightings(docs, regions=())
+    return contacts.sightings(docs, regions)
 
 
 @query(f"SELECT * FROM {SIGHTED}")

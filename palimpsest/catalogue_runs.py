@@ -342,10 +342,14 @@ def stream_first_seen(spark, d):
     return spark.read.parquet(f"{here}/out").select("kind", "value")
 
 
-@query(f"SELECT kind, value, min(\"timestamp\") AS first_ts, count(*) AS sightings FROM {ORACLES['sightings'].replace('SELECT * FROM ', '', 1)} GROUP BY kind, value")
+#: All numbers, not the international ones alone.
+EVERY_SIGHTED = ORACLES["sightings"].replace("SELECT * FROM ", "", 1).replace(" WHERE raw[1] = '+'", "", 1)
+
+
+@query(f"SELECT kind, value, min(\"timestamp\") AS first_ts, count(*) AS sightings FROM {EVERY_SIGHTED} GROUP BY kind, value")
 def report_of_documents(spark, d):
     """First sighting and number of every contact of the documents, from the report."""
-    return timeline.report(made_sightings(spark, d)).select("kind", "value", "first_ts", "sightings")
+    return timeline.report(made_sightings(spark, d, V.SCAN_REGIONS)).select("kind", "value", "first_ts", "sightings")
 
 
 __all__ = ["contacts", "literal"]

@@ -40,3 +40,13 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_report_of_documents_reads_numbers_of_all_regions(spark, tmp_path):
+    docs = spark.createDataFrame([(3, "call 8 4951234567 or 74951234567 or +1 (212) 555-0199"), (5, "74951234567"), (6, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.QUERIES["report_of_documents"](spark, str(tmp_path)).collect()
+    assert {(r.kind, r.value, r.sightings) for r in rows} == {("phone", "+74951234567", 2), ("phone", "+12125550199", 1)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[:2] for r in con.execute(catalogue.ORACLES["report_of_documents"]).fetchall()} == {("phone", "+74951234567"), ("phone", "+12125550199")}
