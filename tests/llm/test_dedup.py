@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact, graph, simhash, substrings
+from palimpsest.llm import common, exact, graph, simhash, substrings
 
 from .conftest import full, prose
 
@@ -459,3 +461,42 @@ def test_an_earlier_phrase_does_not_widen_a_passage():
     phrase, passage = " ".join(words[40:46]), " ".join("other" if i == 20 else w for i, w in enumerate(words))
     found = compared(f"{phrase} {prose(92, 20)} {' '.join(words)}", f"{prose(93, 26)} {passage}")
     assert any(e - s + substrings.SHINGLE >= 68 and same >= 0.8 for s, e, *_, same in found), found
+
+
+def test_many_variants_are_joined_without_trying_all_pairs(monkeypatch):
+    r, words = random.Random(16), prose(99, 90).split()
+
+    def linked(n, many):
+        tried = []
+        monkeypatch.setattr(substrings, "MANY", many)
+        monkeypatch.setattr(substrings, "variants", lambda *x: tried.append(len(x[4])) or variants(*x))
+        links = [p for x in substrings.Variants(False).link([x.copy() for x in columns[n]], last=True) for p in zip(x[0].tolist(), x[1].tolist(), strict=True)]
+        label = list(range(n))
+        for a, b in sorted(links):
+            one, two = label[a], label[b]
+            label = [min(one, two) if v in (one, two) else v for v in label]
+        return sum(tried), label
+
+    variants, columns = substrings.variants, {}
+    for n in (400, 800):
+        edits = [{r.randrange(90): f"other{r.randrange(9)}"} for _ in range(n)]
+        columns[n] = dealt([f"{prose(101000 + k, 20)} {' '.join(e.get(i, w) for i, w in enumerate(words))} {prose(103000 + k, 20)}" for k, e in enumerate(edits)])
+    few, one = linked(400, 30)
+    more, two = linked(800, 30)
+    every, all_one = linked(400, 1 << 30)
+    assert one == all_one and two == linked(800, 1 << 30)[1]
+    assert more < 3 * few and few < every / 2, (few, more, every)
+
+
+def test_what_was_shuffled_goes_when_a_table_is_written(spark):
+    dirs = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*")}
+    setting, before = spark.conf.get(common.CLEANUP), files()
+    assert common.materialise(spark.range(1000).repartition(4, "id"), "cleanup").count() == 1000
+    assert spark.conf.get(common.CLEANUP) == setting
+    for _ in range(50):
+        left = {p for p in files() - before if p.name.endswith(".data") and p.stat().st_size > 2000}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
