@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,15 +54,28 @@ def extract_contacts(content: str | None, regions: Iterable[str] = V.PAGE_REGION
     return [{"kind": kind, "value": value, "raw": raw} for kind, (value, raw) in pairs]
 
 
-@F.pandas_udf(CONTACTS)
-def page_contacts(content: pd.Series, regions: pd.Series) -> pd.Series:
+#: Pages that are read at a time: the rest of a batch stays in Arrow's memory, and what is found in them is in it again before the next are read.
+PAGES = 32
+
+
+def by_slices(read, rows: int, kind):
+    """An Arrow array of what `read` gives for each of so many rows, some rows at a time."""
+    return pa.concat_arrays([pa.array([read(i) for i in range(low, min(low + PAGES, rows))], kind) for low in range(0, max(1, rows), PAGES)])
+
+
+@F.arrow_udf(CONTACTS)
+def page_contacts(content: pa.Array, regions: pa.Array) -> pa.Array:
     """Contacts of each page; each is parsed and normalised once for both kinds."""
-    return pd.Series([extract_contacts(c, r if r is not None else V.PAGE_REGIONS) if c else [] for c, r in zip(content, regions, strict=True)])
+    def read(i):
+        page, own = content[i].as_py(), regions[i].as_py()
+        return extract_contacts(page, own if own is not None else V.PAGE_REGIONS) if page else []
 
+    return by_slices(read, len(content), pa.list_(pa.struct([(f.name, pa.string()) for f in CONTACTS.elementType])))
 
-@F.pandas_udf(T.StringType())
-def normalised(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: markup.normalise(c))
+
+@F.arrow_udf(T.StringType())
+def normalised(content: pa.Array) -> pa.Array:
+    return by_slices(lambda i: markup.normalise(content[i].as_py()), len(content), pa.string())
 
 
 @F.pandas_udf(T.StringType())

@@ -1,9 +1,12 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest import extract_contacts
 from palimpsest.functions import emails, markup, phones, urls
+from palimpsest.operators import contacts
 from palimpsest.operators.contacts import extract_emails, possible
 
 
@@ -148,3 +151,20 @@ def test_number_before_other_digits(after):
 )
 def test_digits_without_prefix_need_the_calling_code(text, region, found):
     assert phones.phones(text, (region,)) == found
+
+
+def test_few_pages_are_texts_at_a_time(spark):
+    held, most = [], []
+
+    def read(i):
+        if i % contacts.PAGES == 0:
+            held.clear()
+        held.append(i)
+        most.append(len(held))
+        return f"text {i}"
+
+    assert contacts.by_slices(read, 100, pa.string()).to_pylist() == [f"text {i}" for i in range(100)] and max(most) == contacts.PAGES
+    assert contacts.by_slices(read, 0, pa.string()).to_pylist() == []
+    rows = spark.createDataFrame([(i, None if i == 7 else f"a{i}@example.com") for i in range(200)], "id int, t string").coalesce(1)
+    found = rows.select("id", contacts.page_contacts("t", F.array(F.lit("RU"))).alias("c"), contacts.normalised("t").alias("n")).collect()
+    assert all([c.value for c in r.c] == ([] if r.id == 7 else [r.n]) for r in found) and found[7].n == ""
