@@ -492,7 +492,7 @@ def test_what_was_shuffled_goes_when_a_table_is_written(spark):
     dirs = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     files = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*")}
     setting, before = spark.conf.get(common.CLEANUP), files()
-    assert common.materialise(spark.range(1000).repartition(4, "id"), "cleanup").count() == 1000
+    assert common.materialise(spark.range(1000).repartition(4, "id"), "cleanup", free=True).count() == 1000
     assert spark.conf.get(common.CLEANUP) == setting
     for _ in range(50):
         left = {p for p in files() - before if p.name.endswith(".data") and p.stat().st_size > 2000}
